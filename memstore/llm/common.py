@@ -69,20 +69,56 @@ def keyed(df: DataFrame, id_col: str, columns: list[str], scratch: Scratch) -> D
     return scratch.table(df.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
 
 
-def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges up to which one task finds all components (32 MB of edges); beyond, star steps do.
+SMALL_EDGES = 2_000_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, sorted, and the smallest node that each reaches through them."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while True:
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, low[a], least)
+        np.minimum.at(low, low[b], least)
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == before).all():
+            return nodes, nodes[low]
+
+
+def _forests(batches):
+    """One forest for all edges of a partition, gathered so that memory stays bounded by its distinct nodes."""
+    u = v = np.zeros(0, np.int64)
+    for batch in batches:
+        u = np.concatenate([u, batch.column(0).to_numpy(zero_copy_only=False)])
+        v = np.concatenate([v, batch.column(1).to_numpy(zero_copy_only=False)])
+        if len(u) > 500_000:
+            u, v = forest(u, v)
+    u, v = forest(u, v)
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", small: int = SMALL_EDGES) -> DataFrame:
     """(node, component): the smallest node reachable, for each node that has an edge.
 
-    Alternates large-star and small-star steps (Kiveris et al., "Connected Components in
-    MapReduce and Beyond", 2014).  Both steps aggregate minima map-side and join back, so a
-    node of any degree is split by skew joins; no neighbour list is ever collected.
+    Each partition first shrinks its edges to a forest.  Up to `small` remaining edges, one
+    task finds the components; their number is counted first.  Beyond, large-star and
+    small-star steps alternate (Kiveris et al., "Connected Components in MapReduce and
+    Beyond", 2014): both aggregate minima map-side and join back, so a node of any degree is
+    split by skew joins, and no neighbour list is ever collected.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = scratch.table(e, "edges")
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    e = scratch.table(e.mapInArrow(_forests, "u long, v long").where("u <> v"), "edges")
+    if e.count() <= small:
+        return scratch.table(e.coalesce(1).mapInArrow(_forests, "u long, v long").toDF("node", "component"), "components")
     last = None
     while True:
         # large star: neighbours above u point to the least of u's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         e1 = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: neighbours below u, and u itself, point to the least of them
         low = e1.groupBy("u").agg(F.min("v").alias("m"))

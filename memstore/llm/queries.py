@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from memstore.llm.common import held_out
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +29,73 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op3_packing": op3_packing, "op8_bpe": op8_bpe}
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memstore.llm.langid import learn, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4, 2))
+    return predict(docs, learn(docs.where("not held_out")), keep=["held_out"])
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memstore.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    return score(docs, fit(docs, labels), keep=["held_out"])
+
+
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memstore.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memstore.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memstore.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memstore.llm.suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memstore.llm.toxicity import fit, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    return predict(docs, fit(docs, labels), keep=["held_out"])
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memstore.llm.rules import apply_rules, fit
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = apply_rules(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+QUERIES = {
+    "op1_neardup": op1_neardup,
+    "op2_jaccard": op2_jaccard,
+    "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
+    "op5_suffix": op5_suffix,
+    "op6_langid": op6_langid,
+    "op7_toxicity": op7_toxicity,
+    "op8_bpe": op8_bpe,
+    "op9_rules": op9_rules,
+    "op10_quality": op10_quality,
+}
 
 #: DuckDB SQL for those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
