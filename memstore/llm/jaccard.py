@@ -59,10 +59,10 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = WORDS):
         if b - a >= words:
             yield np.unique(acc[a : b - words + 1])
         elif b > a:
-            whole = np.uint64(b - a)
-            for h in w[a:b]:
-                whole = mix64(np.array([whole * mul + h]))[0]
-            yield np.array([whole], np.uint64)
+            whole = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                whole = mix64(whole * mul + w[k : k + 1])
+            yield whole
         else:
             yield np.zeros(0, np.uint64)
 
@@ -275,7 +275,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     rows = rows.withColumn("top", band).select("*", F.explode(F.array(F.col("top"), F.col("top") - 1)).alias("band")).withColumn("own", (F.col("top") - F.col("band")).cast("int")).drop("top")
     rows = scratch.table(rows, "banded")
-    sizes = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count_if("own = 0").alias("mine"), F.count("*").alias("all"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    sizes = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count_if(F.col("own") == 0).alias("mine"), F.count("*").alias("all"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     rows = rows.join(sizes.where("mine > 0 and all > 1 and x <> y").select("key", "band", "nb"), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     rows = rows.select("*", F.explode(tiles).alias("t")).select("key", "band", "t.i", "t.j", "doc", "n", "comp", "own", "block", "bits")

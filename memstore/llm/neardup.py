@@ -118,7 +118,7 @@ def near_duplicates(
     spread = homes.select("__rep", "__g", "__d", "__n", "__v", "__home").mapInArrow(visits, "__rep long, __g {}, __d int, __n long, __v array<double>, __home int, __cells array<int>".format(reps.schema["__g"].dataType.simpleString()))
     spread = scratch.table(spread.select("*", F.explode("__cells").alias("__cell")).drop("__cells").withColumn("__guest", F.col("__cell") != F.col("__home")), "visits")
     cell = ["__g", "__d", "__cell"]
-    sizes = spread.groupBy(*cell).agg(F.ceil(F.count_if(~F.col("__guest")) / block).cast("int").alias("__nh"), F.ceil(F.count_if("__guest") / block).cast("int").alias("__nv")).where("__nh > 0")
+    sizes = spread.groupBy(*cell).agg(F.ceil(F.count_if(~F.col("__guest")) / block).cast("int").alias("__nh"), F.ceil(F.count_if(F.col("__guest")) / block).cast("int").alias("__nv")).where("__nh > 0")
     spread = spread.join(sizes, cell)
     mine = F.pmod(F.xxhash64("__rep"), F.when(F.col("__guest"), F.col("__nv")).otherwise(F.col("__nh"))).cast("int")
     spread = spread.withColumn("__b", mine)

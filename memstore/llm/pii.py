@@ -77,6 +77,8 @@ _AT = re.compile(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\sat\s|\s@\s|@", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*dot\s*[\])}>]\s*|\sdot\s|\s\.\s|\.", re.I)
 _MARKS = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]|\sat\s|\sdot\s|\s@\s", re.I)
 _ADDRESS = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,6}\Z")
+_BRACKETS = re.compile(r"[\[({<]")
+_DIGIT_TRIGGER = re.compile(r"[0-9][0-9 ().\-]{5,}[0-9]")
 _TRIGGER = re.compile(r"[0-9][0-9 ().\-]{5,}[0-9]|\w\s*(?:[\[({<]\s*at\s*[\])}>]|\s(?:at|@)\s)\s*\w[^\n]{0,60}?(?:[\[({<]\s*dot\s*[\])}>]|\sdot\s|\s\.\s|\.)", re.I)
 _PHONE_SHAPE = re.compile(r"(?:00?1?[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}\Z")
 _CARD_SHAPE = re.compile(r"[0-9]{4}([ .-]+[0-9]{4}){2}[ .-]+[0-9]{2,7}\Z")
@@ -175,7 +177,7 @@ class SegmentCrf:
         out: list[Span] = []
         taken = [(s, e) for _, s, e in base]
         end = 0
-        for m in _TRIGGER.finditer(text):
+        for m in (_TRIGGER if spelled(text) else _DIGIT_TRIGGER).finditer(text):
             if m.start() < end:
                 continue
             lo, hi = max(end, m.start() - 40), min(len(text), m.end() + 40)
@@ -286,10 +288,15 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
+def spelled(text: str) -> bool:
+    """Whether a text may hold the marks of a spelled-out address; plain searches first, as few texts do."""
+    return ("@" in text or "dot" in text.lower() or _BRACKETS.search(text) is not None) and _MARKS.search(text) is not None
+
+
 def find_spans(text: str, crf: SegmentCrf) -> tuple[list[Span], list[Span]]:
     """Base spans and added ones."""
     base = base_spans(text)
-    return base, crf.spans(text, base) if _DIGIT.search(text) or _MARKS.search(text) else []
+    return base, crf.spans(text, base) if _DIGIT.search(text) or spelled(text) else []
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word contract, as a Java character class.
 _SPACE = "[\\x20\\x09-\\x0D]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Bound of the learning sample, in labelled rows.
@@ -26,25 +27,22 @@ STATS = ("words", "word_length", "symbol_share", "dup_line_share", "repeat_share
 Rule = list[tuple[str, str, float]]
 
 
-def repeat_words(words: Column, hashes: Column) -> Column:
-    """Words that lie in a window which occurs twice or more.
+def _repeated(step: DataFrame) -> DataFrame:
+    """n_repeat_words from __h, the hashes of a text's windows in order.
 
-    hashes: each window's hash, in order.  Only where two are equal are (hash, place) pairs
-    sorted; the places of equal neighbours, in order, each cover the words up to the next
-    place, WINDOW at most.
+    Only where two hashes are equal are (hash, place) pairs sorted; the places of equal
+    neighbours, in order, each cover the words up to the next place, WINDOW at most.
     """
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    marked = F.zip_with(
-        pairs, F.concat(F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:bigint,i:int>"))),
-        lambda a, b: F.struct(a["i"].alias("i"), (a["h"] == F.coalesce(b["h"], ~a["h"])).alias("next"), b["i"].alias("j")),
-    )
-    equal = F.filter(marked, lambda m: m["next"])
-    places = F.array_distinct(F.array_sort(F.concat(F.transform(equal, lambda m: m["i"]), F.transform(equal, lambda m: m["j"]))))
-    total = F.aggregate(
-        places, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
-        lambda s, p: F.struct((s["n"] + F.least(p - s["last"], F.lit(WINDOW))).alias("n"), p.alias("last")), lambda s: s["n"].cast("long"),
-    )
-    return F.when(F.size(hashes) > F.size(F.array_distinct(hashes)), total).otherwise(F.lit(0).cast("long"))
+    nothing = F.array().cast("array<struct<h:bigint,i:int>>")
+    pairs = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    step = step.withColumn("__p", F.when(F.size("__h") > F.size(F.array_distinct("__h")), pairs).otherwise(nothing))
+    at = lambda k: F.get("__p", k)
+    equal = F.filter(F.sequence(F.lit(1), F.size("__p") - 1), lambda k: at(k - 1)["h"] == at(k)["h"])
+    places = F.sort_array(F.array_distinct(F.flatten(F.transform(equal, lambda k: F.array(at(k - 1)["i"], at(k)["i"])))))
+    step = step.withColumn("__e", F.when(F.size("__p") > 1, places).otherwise(F.array().cast("array<int>")))
+    last = F.lit(WINDOW)
+    covered = F.transform("__e", lambda x, k: F.least(F.coalesce(F.get("__e", k + 1) - x, last), last))
+    return step.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x)).drop("__p", "__e")
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -53,15 +51,16 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     projection over another, no shuffle: each row holds its own words, and no more.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    solid = F.regexp_replace("__t", _SPACE, "")
-    step = docs.withColumn("__t", text).withColumn("__w", F.filter(F.split("__t", _SPACE), lambda w: w != ""))
+    solid = F.translate("__t", _BLANKS, "")
+    inner = F.btrim(F.col("__t"), F.lit(_BLANKS))
+    step = docs.withColumn("__t", text).withColumn("__w", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, _SPACE)))
     step = step.withColumn("n_words", F.size("__w").cast("long")).withColumn("word_chars", F.length(solid).cast("long"))
     step = step.withColumn("n_symbols", (F.length("__t") - F.length(F.translate("__t", _SYMBOLS, ""))).cast("long"))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0)
     step = step.withColumn("__l", lines).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     windows = F.transform(F.sequence(F.lit(1), F.size("__w") - WINDOW + 1), lambda i: F.xxhash64(F.slice("__w", i, WINDOW)))
     step = step.withColumn("__h", F.when(F.size("__w") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
-    step = step.withColumn("n_repeat_words", repeat_words(F.col("__w"), F.col("__h")))
+    step = _repeated(step)
     step = step.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     some, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     stats = {
@@ -90,7 +89,7 @@ def learn(rows: list[tuple[tuple[float, ...], int]]) -> list[Rule]:
 
     def precision(rule: Rule, part: list) -> tuple[float, int]:
         got = [y for x, y in part if holds(rule, x)]
-        return ((len(got) - sum(got) + 1) / (len(got) + 2) if got else 0.0), len(got)
+        return (len(got) - sum(got) + 1) / (len(got) + 2), len(got)
 
     rules: list[Rule] = []
     while len(rules) < MAX_RULES:
@@ -123,6 +122,7 @@ def learn(rows: list[tuple[tuple[float, ...], int]]) -> list[Rule]:
         while len(rule) > 1 and precision(rule[:-1], prune)[0] >= precision(rule, prune)[0]:
             rule = rule[:-1]
         p, n = precision(rule, prune) if rule else (0.0, 0)
+        p = (p * (n + 2) - 1) / max(n, 1)
         left = [r for r in grow if not holds(rule, r[0])]
         if not rule or p < MIN_PRECISION or n < 3 or len(left) == len(grow):
             break
@@ -144,11 +144,12 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
     """Rules from at most SAMPLE_ROWS labelled documents, those of least id hash; their statistics come to the driver.
+    What the base rule rejects isn't learned from.
     Without labels of both kinds there are no rules."""
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("__y")).orderBy(F.xxhash64(id_col), "__y").limit(SAMPLE_ROWS)
-    rows = statistics(docs.select(id_col, text_col).join(F.broadcast(some), id_col), text_col).select(id_col, "__y", *STATS).collect()
+    rows = statistics(docs.select(id_col, text_col).join(F.broadcast(some), id_col), text_col).select(id_col, "__y", "base_failed", *STATS).collect()
     rows.sort(key=lambda r: (hash((r[0] * 2654435761) % 2**32) if isinstance(r[0], int) else 0, str(r[0]), tuple(r)[1:]))
-    return learn([(tuple(r)[2:], r[1]) for r in rows])
+    return learn([(tuple(r)[3:], r[1]) for r in rows if not r["base_failed"]])
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:

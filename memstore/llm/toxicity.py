@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from memstore.llm.quality import labelled_sample
 
 #: Bound of the learning sample in labelled rows, terms of the model, folds.
-SAMPLE_ROWS, TERMS, FOLDS = 20_000, 120, 5
-#: Least sample documents that hold a term.
-MIN_DOCS = 4
+SAMPLE_ROWS, TERMS, FOLDS = 20_000, 400, 5
+#: Least sample documents that hold a term, least log-likelihood ratio of a term.
+MIN_DOCS, LEAST_RATIO = 3, 11.0
 CATEGORIES = ("toxic", "repeated")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -29,7 +29,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _terms(sample: DataFrame, text_col: str) -> list[str]:
-    """The terms of greatest log-likelihood ratio between labels: TERMS of them at most."""
+    """The terms that speak most for label 1 by log-likelihood ratio: TERMS of them at most."""
 
     def run(batches):
         for batch in batches:
@@ -45,10 +45,10 @@ def _terms(sample: DataFrame, text_col: str) -> list[str]:
     if not n1 or not n0:
         return []
     found = sample.select("__y", text_col).mapInArrow(run, "y double, w string").groupBy("w").agg(F.sum(F.col("y")).alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    lift = F.log((a / n1) / (b / n0))
-    strength = F.abs(lift) * (a + b) * F.when(lift > 0, a / (a + b)).otherwise(0.2)
-    return [r["w"] for r in found.where(F.col("a") + F.col("b") >= MIN_DOCS).withColumn("s", F.round(strength, 6)).orderBy(F.desc("s"), "w").limit(TERMS).collect()]
+    a, b, share = F.col("a") + 0.5, F.col("b") + 0.5, n1 / (n1 + n0)
+    ratio = 2 * (a * F.log(a / ((a + b) * share)) + b * F.log(b / ((a + b) * (1 - share))))
+    found = found.where((F.col("a") + F.col("b") >= MIN_DOCS) & (a * n0 > b * n1)).withColumn("s", F.round(ratio, 6))
+    return [r["w"] for r in found.where(F.col("s") >= LEAST_RATIO).orderBy(F.desc("s"), "w").limit(TERMS).collect()]
 
 
 def vector(text: str | None, terms: dict[str, int]) -> np.ndarray:
