@@ -4,8 +4,8 @@ Finds every byte covered by a string of LENGTH bytes that starts in two places o
 
 Method: difference-cover blockwise construction.  Suffixes fall into buckets by the least
 hash of the 32-byte strings in their first LENGTH bytes (a value that equal prefixes share);
-a run of neighbouring suffixes of one bucket is a block.  A bucket that occurs once holds no
-repeat, and a block whose whole text occurs twice is all repeats: both are settled by counts.
+a run of neighbouring suffixes of one bucket is a block.  A bucket that occurs once, with
+the string of that hash once in it, holds no repeat, and a block whose whole text occurs twice is all repeats: both are settled by counts.
 Only the distinct blocks of the other buckets are sorted, a bounded set of buckets at a time:
 by their first PERIOD bytes, and where those tie by the ranks of difference-cover samples,
 found beforehand by prefix doubling.  Neighbours in the order are compared byte by byte.
@@ -47,8 +47,18 @@ def _shifts() -> np.ndarray:
 SHIFT = _shifts()
 
 
-def bucket_of(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each place the least hash of the SEED-byte strings in the next `length` bytes."""
+def _slide(x: np.ndarray, want: int, least: np.ufunc) -> np.ndarray:
+    """least(x[i : i + want]) for each i."""
+    span = 1
+    n = len(x) - want + 1
+    while span * 2 <= want:
+        x = least(x[:-span], x[span:])
+        span *= 2
+    return least(x[:n], x[want - span : want - span + n])
+
+
+def buckets_of(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the SEED bytes at each place, and for each place the least of those in the next `length` bytes."""
     h = BYTE_CODE[data]
     span = 1
     mul = 0x9FB21C651E98DF25
@@ -57,30 +67,42 @@ def bucket_of(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
         mul = mul * mul % 2**64 | 1
         span *= 2
     h = mix64(h)
-    want, span = length - SEED + 1, 1
-    while span * 2 <= want:
-        h = np.minimum(h[:-span], h[span:])
-        span *= 2
-    return np.minimum(h[: len(h) - (want - span)], h[want - span :])
+    return h, _slide(h, length - SEED + 1, np.minimum)
+
+
+def _least_twice(h: np.ndarray, bucket: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Which blocks hold their bucket's seed in two places, as they must to repeat a prefix within themselves."""
+    want = length - SEED + 1
+    padded = np.concatenate([np.zeros(want - 1, np.uint64), bucket, np.zeros(want - 1, np.uint64)])
+    seed = np.flatnonzero(_slide(padded, want, np.maximum) == h)
+    value = h[seed]
+    a, b = np.searchsorted(seed, first), np.searchsorted(seed, first + n + want - 1)
+    count = np.zeros(len(first), np.int8)
+    live = np.flatnonzero(a < b)
+    while len(live):
+        count[live] += value[a[live]] == bucket[first[live]]
+        a[live] += 1
+        live = live[(a[live] < b[live]) & (count[live] < 2)]
+    return count > 1
 
 
 def blocks_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH):
-    """(text, first start in it, starts, bucket, hash of the block's bytes) of all blocks."""
+    """(text, first start in it, starts, bucket, hash of the block's bytes, whether it may repeat itself) of all blocks."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    bucket = bucket_of(data, length)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+    h, bucket = buckets_of(data, length)
     size = np.diff(off)
     doc = np.repeat(np.arange(len(size)), size)[: len(bucket)]
     inside = np.arange(len(bucket)) + length <= off[doc + 1]
-    fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])) | ~inside
-    at = np.flatnonzero(fresh)
-    at = at[inside[at]]
-    stop = np.minimum(np.append(np.flatnonzero(fresh), len(bucket))[np.searchsorted(np.flatnonzero(fresh), at) + 1], len(bucket))
+    fresh = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])) | ~inside)
+    stop = np.append(fresh[1:], len(bucket))[inside[fresh]]
+    at = fresh[inside[fresh]]
     pieces = -(-(stop - at) // RUN)
     first = np.repeat(at, pieces) + RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     n = np.minimum(RUN, np.repeat(stop, pieces) - first)
-    return doc[first], first - off[doc[first]], n, bucket[first], span_hash(prefix_hash(data), first, first + n - 1 + length)
+    twice = _least_twice(h, bucket, first, n, length)
+    return doc[first], first - off[doc[first]], n, bucket[first], span_hash(prefix_hash(data), first, first + n - 1 + length), twice
 
 
 def _words(x: np.ndarray, at: np.ndarray, count: int) -> list[np.ndarray]:
@@ -199,11 +221,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
         for batch in batches:
             for part in slices(batch, 1, SLICE):
                 data, off = utf8(part.column(1))
-                doc, lo, n, fp, bk = blocks_of(data, off, length)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(bk.view(np.int64))], names=[KEY, "lo", "n", "fp", "bk"])
+                doc, lo, n, fp, bk, twice = blocks_of(data, off, length)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(bk.view(np.int64)), pa.array(twice)], names=[KEY, "lo", "n", "fp", "bk", "twice"])
 
-    blocks = scratch.table(docs.select(KEY, text_col).mapInArrow(find, f"{KEY} long, lo int, n int, fp long, bk long"), "blocks")
-    often = blocks.groupBy("fp").agg(F.count("*").alias("c"), (F.min("bk") == F.max("bk")).alias("same")).where("c > 1").select("fp", "same")
+    blocks = scratch.table(docs.select(KEY, text_col).mapInArrow(find, f"{KEY} long, lo int, n int, fp long, bk long, twice boolean"), "blocks")
+    often = blocks.groupBy("fp").agg(F.count("*").alias("c"), ((F.min("bk") == F.max("bk")) & (F.count("*") > 1)).alias("same"), F.max("twice").alias("t")).where("c > 1 or t").select("fp", "same")
     found = scratch.table(blocks.join(often, "fp"), "repeated")
     scratch.drop(blocks)
     release(spark)

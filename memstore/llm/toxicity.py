@@ -19,7 +19,7 @@ from memstore.llm.quality import labelled_sample
 #: Bound of the learning sample in labelled rows, terms of the model, folds.
 SAMPLE_ROWS, TERMS, FOLDS = 20_000, 400, 5
 #: Least sample documents that hold a term, least log-likelihood ratio of a term.
-MIN_DOCS, LEAST_RATIO = 3, 11.0
+MIN_DOCS, LEAST_RATIO = 4, 20.0
 CATEGORIES = ("toxic", "repeated")
 _WORD = re.compile(r"[^\W\d_]+")
 
