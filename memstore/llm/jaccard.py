@@ -230,8 +230,8 @@ def _tile_pairs(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component_id, kept; one row for each input row.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keep: list[str] = ()) -> DataFrame:
+    """id, n_shingles, component_id, kept and the columns of `keep`; one row for each input row.
 
     A set holds the distinct runs of `words` lower-cased words; a text of fewer words is one
     run, an empty or null text has an empty set and links with nothing.  Sets link when
@@ -240,7 +240,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = keyed(docs, id_col, [text_col], scratch).withColumnRenamed(id_col, "__id").withColumnRenamed(text_col, "__text")
+    docs = keyed(docs, id_col, [c for c in dict.fromkeys([text_col, *keep]) if c != id_col], scratch)
+    docs = docs.select(KEY, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(F.lit(0).alias("__"), *keep).alias("__keep"))
     frequent = _frequent(docs, "__text", words)
     per = docs.select(KEY, "__text").mapInArrow(_per_document(percent, words, frequent), f"{KEY} long, n long, s1 long, s2 long, prefix array<long>, bits binary")
     per = scratch.table(per, "documents")
@@ -286,6 +287,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = components(links, scratch)
 
     out = per.select(KEY, "n").join(rep_of, KEY, "left").join(comp, F.col("rep") == F.col("node"), "left").select(KEY, "n", F.coalesce("component", "rep", KEY).alias("__c"))
-    out = docs.select(KEY, "__id").join(out, KEY)
-    least = out.groupBy("__c").agg(F.min("__id").alias("component_id"))
-    return out.join(least, "__c").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col(KEY) == F.col("__c")).alias("kept"))
+    least = docs.select(KEY, "__id").join(out, KEY).groupBy("__c").agg(F.min("__id").alias("component_id"))
+    out = docs.select(KEY, "__id", "__keep").join(out.join(least, "__c"), KEY)
+    return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col(KEY) == F.col("__c")).alias("kept"), *[F.col(f"__keep.`{c}`").alias(c) for c in keep])
