@@ -106,6 +106,9 @@ class Stream:
                 cuts.append(upto)
             cuts += [upto + x for x in tail_cuts(len(stream) - upto)]
             upto = len(stream)
+        if not upto:
+            self.ids = stream
+            return []
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         cut = np.array([0, *cuts], np.int64)
         edge = np.unique(np.concatenate([cut, starts[starts < upto]]))

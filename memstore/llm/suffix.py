@@ -28,8 +28,9 @@ LENGTH = 200
 SEED = 32
 #: Most suffixes in a block.
 RUN = 256
-#: Blocks sorted at a time; buckets of more distinct blocks are split by whole prefixes.
-GROUP_BLOCKS, BUCKET_BLOCKS = 4000, 400
+#: Blocks sorted at a time.  Buckets of more distinct blocks are split by the bytes that STEP
+#: neighbouring prefixes share, and if that leaves more, by whole prefixes.
+GROUP_BLOCKS, BUCKET_BLOCKS, STEP = 4000, 4000, 16
 #: Period of the difference cover and the cover: every difference mod 31 occurs once.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 SLICE = 2_000_000
@@ -244,36 +245,68 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
         for batch in batches:
             for part in slices(batch, 1, SLICE):
                 data, off = utf8(part.column(1))
-                pre, raw = None, data.tobytes()
-                rows = []
+                raw, rows = data.tobytes(), []
                 for i, (key, want) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     base = int(off[i])
                     for w in want:
                         s = base + w["lo"]
-                        if w["hot"]:
-                            if pre is None:
-                                pre, pre2 = prefix_hash(data), prefix_hash(data ^ np.uint8(0x5A))
-                            at = np.arange(s, s + w["n"])
-                            rows.append((key, w["lo"], w["n"], w["fp"], w["edge"], None, span_hash(pre, at, at + length).view(np.int64), span_hash(pre2, at, at + length).view(np.int64)))
-                        else:
-                            rows.append((key, w["lo"], w["n"], w["fp"], w["edge"], raw[s : s + w["n"] - 1 + length], None, None))
-                cols = list(zip(*rows, strict=True)) or [()] * 8
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[KEY, "lo", "n", "fp", "edge", "bytes", "h1", "h2"])
+                        text = raw[s : s + w["n"] - 1 + length]
+                        if not w["hot"]:
+                            rows.append((key, w["lo"], w["n"], w["fp"], w["edge"], text, None))
+                            continue
+                        for o, n, core in sub_blocks(np.frombuffer(text, np.uint8), w["n"], np.uint64(w["fp"] % 2**64), length):
+                            own = text[o : o + n - 1 + length]
+                            rows.append((key, w["lo"] + o, n, core, w["edge"], own, int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)))
+                cols = list(zip(*rows, strict=True)) or [()] * 7
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[KEY, "lo", "n", "fp", "edge", "bytes", "bk"])
 
     texts = docs.select(KEY, text_col).join(wanted, KEY).select(KEY, text_col, "w")
-    texts = scratch.table(texts.mapInArrow(cut, f"{KEY} long, lo int, n int, fp long, edge boolean, bytes binary, h1 array<long>, h2 array<long>"), "texts")
+    texts = scratch.table(texts.mapInArrow(cut, f"{KEY} long, lo int, n int, fp long, edge boolean, bytes binary, bk long"), "texts")
     release(spark)
-    groups = max(1, -(-total // n_groups))
-    cold = texts.where("bytes is not null").withColumn("g", F.pmod(F.xxhash64("fp"), F.lit(groups)))
-    cold = cold.select("g", KEY, "lo", "n", "fp", "edge", "bytes").groupBy("g").applyInPandas(_sort_group(length), f"{KEY} long, s long, e long")
-    # buckets of many distinct blocks: one sub-bucket for each whole prefix, counted
-    each = texts.where("bytes is null").select(KEY, "lo", "edge", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h")).select(KEY, (F.col("lo") + F.col("i")).cast("long").alias("s"), "edge", "h.h1", "h.h2")
+    span = [KEY, F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("e")]
+    # split buckets: the same steps again, on their parts
+    parts = texts.where("bk is not null")
+    same = parts.groupBy("fp", "bk").agg(F.count("*").alias("c"), F.min(F.struct(KEY, "lo")).alias("r"))
+    parts = scratch.table(parts.join(same, ["fp", "bk"]), "parts")
+    out = out.unionByName(parts.where("c > 1 and edge").select(*span))
+    rest = parts.where((F.col(f"r.{KEY}") == F.col(KEY)) & (F.col("r.lo") == F.col("lo"))).withColumn("edge", F.col("edge") & (F.col("c") == 1))
+    hot = rest.groupBy("fp").agg((F.count("*") > BUCKET_BLOCKS).alias("hot"))
+    rest = rest.join(hot, "fp")
+    columns = [KEY, "lo", "n", "fp", "edge", "bytes"]
+    cold = texts.where("bk is null").select(*columns).unionByName(rest.where("not hot").select(*columns))
+    groups = max(1, -(-max(total, 1) // n_groups))
+    cold = cold.withColumn("g", F.pmod(F.xxhash64("fp"), F.lit(groups))).groupBy("g").applyInPandas(_sort_group(length), f"{KEY} long, s long, e long")
+    # what is still too large: one sub-bucket for each whole prefix, counted
+    prefix = lambda i: F.substring("bytes", i + 1, F.lit(length))
+    hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.xxhash64(prefix(i)).alias("h1"), F.xxhash64(prefix(i), F.lit(7)).alias("h2")))
+    each = rest.where("hot").select(KEY, "lo", "edge", F.posexplode(hashes).alias("i", "h")).select(KEY, (F.col("lo") + F.col("i")).cast("long").alias("s"), "edge", "h.h1", "h.h2")
     many = each.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
     warm = each.where("edge").join(many, ["h1", "h2"]).select(KEY, "s", (F.col("s") + length).alias("e"))
     return out.unionByName(scratch.table(cold, "sorted")).unionByName(scratch.table(warm, "counted"))
 
 
+def sub_blocks(x: np.ndarray, n: int, bucket: np.uint64, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(first start, starts, hash of the shared bytes) of a block's parts.
+
+    A start's distance to the first seed of the bucket in its prefix is part of the prefix;
+    starts of one seed whose distances share a multiple of STEP make a part, named by the
+    bytes that lie in all prefixes of such distances.  Equal prefixes fall in equally named parts."""
+    h, _ = buckets_of(x, length)
+    seed = np.flatnonzero(h == bucket)
+    start = np.arange(n)
+    at = seed[np.searchsorted(seed, start)]
+    step = (at - start) // STEP
+    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (step[1:] != step[:-1])))
+    out = []
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
+        k = int(step[s]) * STEP
+        lo = int(at[s]) - k
+        core = x[lo : lo - STEP + 1 + length].tobytes()
+        out.append((s, e - s, int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=k.to_bytes(4, "little")).digest(), "little", signed=True)))
+    return out
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of bytes in some ranges."""
     out: list[list[int]] = []
