@@ -26,6 +26,8 @@ WORDS, PERCENT = 5, 75
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4096, 4, 50_000
 #: Documents of one side of a tile; pairs compared at a time.
 BLOCK, PAIRS = 1024, 1_000_000
+#: Ids up to which a set of documents is broadcast (8 bytes each).
+BROADCAST_IDS = 500_000
 #: Bytes of text worked on at a time.
 SLICE = 2_000_000
 
@@ -170,6 +172,18 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _bounded(percent: int):
+    """Keeps the pairs (a, b, na, nb, ma, mb) whose bit counts allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            keep = linked(overlap_bound(na, nb, batch.column(4).to_pylist(), batch.column(5).to_pylist()), na, nb, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    return run
+
+
 def _tile_pairs(percent: int):
     """Candidate pairs of tiles.  Rows come sorted by (key, band, i, j); the last tile of a batch waits for the next."""
 
@@ -252,21 +266,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = per.select(F.explode("prefix").alias("key"), F.col(KEY).alias("doc"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     rows = rows.join(shared, "key").join(rep_of.withColumnRenamed(KEY, "doc"), "doc").select("key", F.col("rep").alias("doc")).distinct()
-    rows = scratch.table(rows, "shared")
+    shared = scratch.table(rows, "shared")
+    full, per = per, scratch.table(per.select(KEY, "n", "bits"), "sets")
+    scratch.drop(full)
+    release(spark)
+    hubs = shared.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    rows = scratch.table(shared.join(hubs, "key"), "tiles")
+    scratch.drop(shared)
     release(spark)
-    hubs = rows.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    rows = scratch.table(rows.join(hubs, "key"), "tiles")
-    needed = rows.select(F.col("doc").alias(KEY)).distinct()
-    texts = scratch.table(docs.select(KEY, "__text").join(needed, KEY), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The linked pairs.  Few documents: their ids are broadcast to the scan of the texts; more: joined."""
+        pairs = scratch.table(pairs, "pairs")
+        needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias(KEY)).distinct(), "needed")
+        texts = docs.select(KEY, "__text").join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, KEY)
+        texts = scratch.table(texts, "texts")
+        release(spark)
         both = pairs.join(texts.select(F.col(KEY).alias("a"), F.col("__text").alias("ta")), "a").join(texts.select(F.col(KEY).alias("b"), F.col("__text").alias("tb")), "b")
-        return scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, percent), "a long, b long"), name)
+        out = scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, percent), "a long, b long"), name)
+        scratch.drop(texts)
+        release(spark)
+        return out
 
     stars = rows.where("doc <> hub").groupBy("doc", "hub").agg(F.count("*").alias("c"))
     stars = stars.groupBy("doc").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-    links = verified(stars.select(F.col("doc").alias("a"), F.col("hub").alias("b")), "stars")
-    release(spark)
+    stars = stars.join(per.select(F.col(KEY).alias("doc"), F.col("n").alias("na"), F.col("bits").alias("ma")), "doc").join(per.select(F.col(KEY).alias("hub"), F.col("n").alias("nb"), F.col("bits").alias("mb")), "hub")
+    stars = stars.where(percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")).select(F.col("doc").alias("a"), F.col("hub").alias("b"), "na", "nb", "ma", "mb")
+    links = verified(stars.mapInArrow(_bounded(percent), "a long, b long"), "stars")
     comp = components(links, scratch)
 
     # what is left: tiles that hold several components
@@ -281,9 +307,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     rows = rows.select("*", F.explode(tiles).alias("t")).select("key", "band", "t.i", "t.j", "doc", "n", "comp", "own", "block", "bits")
     rows = rows.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-    more = scratch.table(rows.mapInArrow(_tile_pairs(percent), "a long, b long").distinct(), "candidates")
-    release(spark)
-    links = links.unionByName(verified(more, "links"))
+    links = links.unionByName(verified(rows.mapInArrow(_tile_pairs(percent), "a long, b long").distinct(), "links"))
     comp = components(links, scratch)
 
     out = per.select(KEY, "n").join(rep_of, KEY, "left").join(comp, F.col("rep") == F.col("node"), "left").select(KEY, "n", F.coalesce("component", "rep", KEY).alias("__c"))
