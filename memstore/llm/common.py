@@ -29,23 +29,35 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, to cut lineage durably; drop() removes one early."""
+    """Tables written to the shared folder, to cut lineage durably; those no longer needed are dropped early."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.made, self.live = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
+    def table(self, df: DataFrame, name: str, pinned: bool = False) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(T.StructType.fromJson(df.schema.jsonValue())).parquet(path)
         out._scratch_path = path
+        self.live[path] = pinned
         return out
 
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df and drops every table before it that isn't pinned."""
+        out = self.table(df, name)
+        for path in [p for p, pinned in self.live.items() if not pinned and p != out._scratch_path]:
+            self._delete(path)
+        release(self.spark)
+        return out
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.live.pop(name, None)
 
 
 def release(spark: SparkSession) -> None:
@@ -66,7 +78,7 @@ def keyed(df: DataFrame, id_col: str, columns: list[str], scratch: Scratch) -> D
     odd = df.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1))
     if whole and not odd.limit(1).count():
         return df.withColumn(KEY, F.col(id_col).cast("long"))
-    return scratch.table(df.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    return scratch.table(df.withColumn(KEY, F.monotonically_increasing_id()), "keyed", pinned=True)
 
 
 #: Edges up to which one task finds all components (32 MB of edges); beyond, star steps do.

@@ -312,5 +312,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     out = per.select(KEY, "n").join(rep_of, KEY, "left").join(comp, F.col("rep") == F.col("node"), "left").select(KEY, "n", F.coalesce("component", "rep", KEY).alias("__c"))
     least = docs.select(KEY, "__id").join(out, KEY).groupBy("__c").agg(F.min("__id").alias("component_id"))
-    out = docs.select(KEY, "__id", "__keep").join(out.join(least, "__c"), KEY)
+    out = scratch.only(out.join(least, "__c"), "result")
+    out = docs.select(KEY, "__id", "__keep").join(out, KEY)
     return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col(KEY) == F.col("__c")).alias("kept"), *[F.col(f"__keep.`{c}`").alias(c) for c in keep])

@@ -158,6 +158,7 @@ def near_duplicates(
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     out = rep_of.join(links, rep_of["__rep"] == links["rep"], "left").join(joined, rep_of["__rep"] == joined["node"], "left")
     out = out.select(KEY, (F.coalesce("links", F.lit(0)) + F.col("__n") - 1).alias("n_links"), F.coalesce("component", "__rep").alias("__c"))
+    out = scratch.only(out, "result")
     out = v.select(KEY, "__id").join(out, KEY, "left").withColumn("__c", F.coalesce("__c", KEY))
     least = out.groupBy("__c").agg(F.min("__id").alias("component_id"))
     out = out.join(least, "__c")

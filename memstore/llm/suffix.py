@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
     whole = found.where("same").select(KEY, "lo", "n").unionByName(mixed.join(distinct.where("c > 1").select("fp", "bk"), ["fp", "bk"]).select(KEY, "lo", "n"))
     out = whole.select(KEY, F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("e"))
     if not total:
-        return out
+        return scratch.only(out, "spans")
     hot = distinct.groupBy("fp").agg((F.count("*") > BUCKET_BLOCKS).alias("hot"))
     wanted = distinct.join(hot, "fp").groupBy(KEY).agg(F.collect_list(F.struct("lo", "n", "fp", (F.col("c") == 1).alias("edge"), "hot")).alias("w"))
 
@@ -283,7 +283,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
     each = rest.where("hot").select(KEY, "lo", "edge", F.posexplode(hashes).alias("i", "h")).select(KEY, (F.col("lo") + F.col("i")).cast("long").alias("s"), "edge", "h.h1", "h.h2")
     many = each.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
     warm = each.where("edge").join(many, ["h1", "h2"]).select(KEY, "s", (F.col("s") + length).alias("e"))
-    return out.unionByName(scratch.table(cold, "sorted")).unionByName(scratch.table(warm, "counted"))
+    return scratch.only(out.unionByName(cold).unionByName(warm), "spans")
 
 
 def sub_blocks(x: np.ndarray, n: int, bucket: np.uint64, length: int = LENGTH) -> list[tuple[int, int, int]]:
