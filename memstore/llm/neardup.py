@@ -23,8 +23,10 @@ from memstore.llm.common import KEY, Scratch, components, forest, keyed, release
 THRESHOLD = 0.93
 #: Rows of one side of a tile.
 BLOCK = 1024
-#: Bound of the sample that the centres are fitted on, rows for each centre, bounds of their number.
-SAMPLE_ROWS, ROWS_PER_CELL, LEAST_CELLS, MOST_CELLS = 16_384, 512, 1, 512
+#: Bound of the sample that the centres are fitted on, least rows for each centre, numbers of
+#: centres to choose from, rows of the sample that tell their visits, comparisons that cost as
+#: much as sending a vector once.
+SAMPLE_ROWS, ROWS_PER_CELL, CELLS, VISITORS, SENDING = 16_384, 64, (4, 16, 64, 256), 2048, 256
 ITERATIONS = 12
 
 
@@ -43,6 +45,30 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
     return centre
 
 
+def reach(s: np.ndarray, home: np.ndarray, apart: np.ndarray, slack: float) -> np.ndarray:
+    """Which cells may hold partners' homes, the own one included; s: cosines with the centres."""
+    return s[np.arange(len(s)), home][:, None] - s <= slack * apart[home]
+
+
+def choose_centres(x: np.ndarray, n: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and their distances: of the numbers in CELLS the one of least cost for n rows, by
+    the visits that rows of the sample would make.  More cells mean fewer comparisons only
+    where the vectors keep to their cells."""
+    best = None
+    for k in CELLS:
+        k = min(k, len(x))
+        if best is not None and k * ROWS_PER_CELL > n:
+            break
+        centre = spherical_kmeans(x, k)
+        apart = np.linalg.norm(centre[:, None] - centre[None], axis=2)
+        s = x[:VISITORS] @ centre.T
+        visits = reach(s, s.argmax(axis=1), apart, slack).sum(axis=1).mean()
+        cost = visits * (n / k + SENDING)
+        if best is None or cost < best[0]:
+            best = (cost, centre, apart)
+    return best[1], best[2]
+
+
 def unit(vectors) -> np.ndarray:
     x = np.array([np.asarray(v, np.float64) for v in vectors])
     return x / np.linalg.norm(x, axis=1)[:, None]
@@ -78,8 +104,10 @@ def near_duplicates(
     # home cells
     dim = dim[0]["__d"]
     sample = reps.where(F.col("__d") == dim).orderBy(F.xxhash64("__rep"), "__rep").limit(SAMPLE_ROWS).select("__v").toPandas()
-    k = max(LEAST_CELLS, min(MOST_CELLS, n // ROWS_PER_CELL, len(sample)))
-    centre = spherical_kmeans(unit(sample["__v"]), k)
+    angle = math.acos(threshold)
+    slack = math.sin(min(angle, math.pi / 2)) + 1e-9
+    centre, apart = choose_centres(unit(sample["__v"]), n, slack)
+    k = len(centre)
 
     def at_home(batches):
         for batch in batches:
@@ -93,13 +121,10 @@ def near_duplicates(
 
     rows = reps.select("__rep", "__g", "__d", "__n", "__v")
     homes = scratch.table(rows.mapInArrow(at_home, "__rep long, __g {}, __d int, __n long, __v array<double>, __home int, __near double".format(reps.schema["__g"].dataType.simpleString())), "homes")
-    angle = math.acos(threshold)
     radius = np.zeros(k)
     for r in homes.where(F.col("__d") == dim).groupBy("__home").agg(F.min("__near").alias("m")).collect():  # k rows at most
         radius[r["__home"]] = math.acos(max(-1.0, min(1.0, r["m"])))
     within = np.cos(np.minimum(radius + angle + 1e-9, math.pi))
-    apart = np.linalg.norm(centre[:, None] - centre[None], axis=2)
-    slack = math.sin(min(angle, math.pi / 2)) + 1e-9
 
     def visits(batches):
         for batch in batches:
@@ -109,7 +134,7 @@ def near_duplicates(
             if len(fit):
                 s = unit(pdf["__v"].iloc[fit]) @ centre.T
                 h = pdf["__home"].to_numpy()[fit]
-                go = (s[np.arange(len(fit)), h][:, None] - s <= slack * apart[h]) & (s >= within[None])
+                go = reach(s, h, apart, slack) & (s >= within[None])
                 go[np.arange(len(fit)), h] = False
                 for i, row in zip(fit, go, strict=True):
                     cells[i] += np.flatnonzero(row).tolist()
