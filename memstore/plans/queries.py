@@ -15,7 +15,8 @@ from memstore.operators import ann, cache, catalog, snapshots
 from memstore.operators import filters as P
 from memstore.operators import recall as R
 from memstore.plans.fixtures import NOW, relation, sql
-from memstore.sources import crypto
+from memstore.sources import crypto, jsonl
+from memstore.sources.files import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -431,6 +432,27 @@ def index_info(mem):
     return ann.info(ann.encode(mem, index), index)
 
 
+@query("mem", f"SELECT content, memory_type, agent_id, importance, size FROM (SELECT content, memory_type, agent_id, importance, CAST(len(vector) AS INT) AS size FROM mem WHERE {LIVE})")
+def jsonl_import(mem):
+    """Live rows as JSON lines, and the lines read back by the importer."""
+    path = scratch(mem.sparkSession, "jsonl")
+    R.scan_live(mem).select(F.to_json(F.struct("content", "vector", "memory_type", "agent_id", "importance")).alias("value")).write.text(path)
+    return jsonl.read_memories(mem.sparkSession, path).select("content", "memory_type", "agent_id", "importance", F.size("vector").alias("size"))
+
+
+@query("snapshots", "SELECT 'episodic' AS memory_type, '[v1] growth: ' || CAST(memory_count AS VARCHAR) || '.0 rows day ' || txn_id AS content FROM snapshots")
+def perf_ingest(snaps):
+    """A JSON list of measurements (one a snapshot) as episodic memories."""
+    spark = snaps.sparkSession
+    path = scratch(spark, "perf")
+    each = F.struct(F.lit("v1").alias("version"), F.lit("growth").alias("metric"), F.col("memory_count").alias("value"), F.lit("rows").alias("units"), F.concat(F.lit("day "), F.col("txn_id").cast("string")).alias("notes"))
+    snaps.groupBy("txn_id").agg(F.to_json(F.collect_list(each)).alias("value")).select("value").write.text(path, lineSep="\n")
+    lines = spark.read.text(path).repartition("value")
+    lists = scratch(spark, "perf-lists")
+    lines.write.option("maxRecordsPerFile", 1).text(lists)
+    return jsonl.perf_rows(spark, lists).select("memory_type", "content")
+
+
 @query("mem")
 def aead_roundtrip(mem):
     key = bytes(range(32))

@@ -46,3 +46,12 @@ class Files:
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared place of spark.checkpoint.dir; a temporary one only where that is unset."""
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="memstore-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
