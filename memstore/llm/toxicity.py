@@ -19,7 +19,7 @@ from memstore.llm.quality import labelled_sample
 #: Bound of the learning sample in labelled rows, terms of the model, folds.
 SAMPLE_ROWS, TERMS, FOLDS = 20_000, 400, 5
 #: Least sample documents that hold a term, least log-likelihood ratio of a term.
-MIN_DOCS, LEAST_RATIO = 4, 20.0
+MIN_DOCS, LEAST_RATIO = 4, 15.0
 CATEGORIES = ("toxic", "repeated")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -28,6 +28,11 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def terms_of(words: set[str]) -> set[str]:
+    """The words and the beginnings of longer ones, marked by a star."""
+    return words.union([w[:4] + "*" for w in words if len(w) > 5], [w[:5] + "*" for w in words if len(w) > 6])
+
+
 def _terms(sample: DataFrame, text_col: str) -> list[str]:
     """The terms that speak most for label 1 by log-likelihood ratio: TERMS of them at most."""
 
@@ -35,7 +40,7 @@ def _terms(sample: DataFrame, text_col: str) -> list[str]:
         for batch in batches:
             y, w = [], []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(words_of(text))
+                own = terms_of(set(words_of(text)))
                 y += [label] * len(own)
                 w += own
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(w, pa.string())], names=["y", "w"])
@@ -52,13 +57,11 @@ def _terms(sample: DataFrame, text_col: str) -> list[str]:
 
 
 def vector(text: str | None, terms: dict[str, int]) -> np.ndarray:
-    """Presence of each term, log of their number, their share among the words."""
+    """Presence of each term, and the log of the number of words."""
     x = np.zeros(len(terms) + 1)
     words = words_of(text)
-    for w in words:
-        if (i := terms.get(w)) is not None:
-            x[i] = 1
-    x[-1] = min(len(words), 1) * np.log1p(len(words)) / 10
+    x[[terms[t] for t in terms_of(set(words)).intersection(terms)]] = 1
+    x[-1] = np.log1p(len(words)) / 10
     return x
 
 
