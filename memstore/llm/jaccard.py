@@ -24,6 +24,8 @@ from memstore.llm.common import KEY, Scratch, components, keyed, mix64, prefix_h
 WORDS, PERCENT = 5, 75
 #: Documents in the sample that tells frequent shingles, sample documents that make one frequent, most of them kept.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4096, 4, 50_000
+#: 64-bit words of a bitmap in a tile, first prefix shingles that tell where a pair met before.
+TILE_WORDS, FIRST = 8, 4
 #: Documents of one side of a tile; pairs compared at a time.
 BLOCK, PAIRS = 1024, 1_000_000
 #: Ids up to which a set of documents is broadcast (8 bytes each).
@@ -112,7 +114,7 @@ def _per_document(percent: int, words: int, frequent: np.ndarray):
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1, SLICE):
-                n, s1, s2, pre, maps = [], [], [], [], []
+                n, s1, s2, pre, maps, small = [], [], [], [], [], []
                 for s in shingle_sets(*utf8(part.column(1)), words):
                     n.append(len(s))
                     s1.append(int(mix64(s + np.uint64(1)).sum(dtype=np.uint64)))
@@ -125,9 +127,10 @@ def _per_document(percent: int, words: int, frequent: np.ndarray):
                             first = np.concatenate([s[~often], s[often]])[:p]
                     pre.append(first.view(np.int64))
                     maps.append(bitmap(s) if len(s) else b"")
+                    small.append(folded(np.frombuffer(maps[-1], np.uint64)[None], TILE_WORDS).tobytes() if len(s) else b"")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(pre, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                    names=[KEY, "n", "s1", "s2", "prefix", "bits"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(pre, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(small, pa.binary())],
+                    names=[KEY, "n", "s1", "s2", "prefix", "bits", "small"],
                 )
 
     return run
@@ -193,13 +196,25 @@ def _tile_pairs(percent: int):
         at = np.append(np.flatnonzero(fresh), t.num_rows)
         doc, n, comp, own, block = (t.column(c).to_numpy() for c in ("doc", "n", "comp", "own", "block"))
         bits = t.column("bits").to_pylist()
+        rank = np.minimum(t.column("rank").to_numpy(), FIRST)
+        first = np.zeros((t.num_rows, FIRST), np.int64)
+        known = np.zeros((t.num_rows, FIRST), bool)
+        for i, keys in enumerate(t.column("first").to_pylist()):
+            first[i, : len(keys)] = keys
+            known[i, : min(len(keys), rank[i])] = True
         left, right, size = [], [], 0
 
         def judge():
             x, y = np.concatenate(left), np.concatenate(right)
             lo, hi = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            ok = (comp[x] != comp[y]) & (100 * lo >= percent * hi) & (own[x] == 0) | (comp[x] != comp[y]) & (100 * lo >= percent * hi) & (own[y] == 0)
+            ok = (comp[x] != comp[y]) & (100 * lo >= percent * hi) & ((own[x] == 0) | (own[y] == 0))
             x, y = x[ok], y[ok]
+            # a pair that shares an earlier shingle has met in that one's tile
+            met = np.zeros(len(x), bool)
+            for c in range(FIRST):
+                for d in range(FIRST):
+                    met |= (first[x, c] == first[y, d]) & known[x, c] & known[y, d]
+            x, y = x[~met], y[~met]
             if len(x):
                 bound = overlap_bound(n[x], n[y], [bits[i] for i in x], [bits[i] for i in y])
                 ok = linked(bound, n[x], n[y], percent)
@@ -257,17 +272,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = keyed(docs, id_col, [c for c in dict.fromkeys([text_col, *keep]) if c != id_col], scratch)
     docs = docs.select(KEY, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(F.lit(0).alias("__"), *keep).alias("__keep"))
     frequent = _frequent(docs, "__text", words)
-    per = docs.select(KEY, "__text").mapInArrow(_per_document(percent, words, frequent), f"{KEY} long, n long, s1 long, s2 long, prefix array<long>, bits binary")
+    per = docs.select(KEY, "__text").mapInArrow(_per_document(percent, words, frequent), f"{KEY} long, n long, s1 long, s2 long, prefix array<long>, bits binary, small binary")
     per = scratch.table(per, "documents")
     classes = per.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(KEY).alias("rep"))
     rep_of = scratch.table(per.where("n > 0").select(KEY, "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select(KEY, "rep"), "classes")
 
     # tile rows: (prefix shingle, representative) where two representatives share the shingle
-    rows = per.select(F.explode("prefix").alias("key"), F.col(KEY).alias("doc"))
+    rows = per.select(F.posexplode("prefix").alias("rank", "key"), F.col(KEY).alias("doc"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    rows = rows.join(shared, "key").join(rep_of.withColumnRenamed(KEY, "doc"), "doc").select("key", F.col("rep").alias("doc")).distinct()
+    rows = rows.join(shared, "key").join(rep_of.withColumnRenamed(KEY, "doc"), "doc").select("key", F.col("rep").alias("doc"), "rank").distinct()
     shared = scratch.table(rows, "shared")
-    full, per = per, scratch.table(per.select(KEY, "n", "bits"), "sets")
+    full, per = per, scratch.table(per.select(KEY, "n", "bits", "small", F.slice("prefix", 1, FIRST).alias("first")), "sets")
     scratch.drop(full)
     release(spark)
     hubs = shared.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -276,8 +291,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(spark)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The linked pairs.  Few documents: their ids are broadcast to the scan of the texts; more: joined."""
-        pairs = scratch.table(pairs, "pairs")
+        """The linked ones of some pairs, by size, whole bitmaps and sets.  Few documents: their ids are broadcast to the scan of the texts; more: joined."""
+        both = pairs.join(per.select(F.col(KEY).alias("a"), F.col("n").alias("na"), F.col("bits").alias("ma")), "a").join(per.select(F.col(KEY).alias("b"), F.col("n").alias("nb"), F.col("bits").alias("mb")), "b")
+        both = both.where(percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")).select("a", "b", "na", "nb", "ma", "mb")
+        pairs = scratch.table(both.mapInArrow(_bounded(percent), "a long, b long"), "pairs")
         needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias(KEY)).distinct(), "needed")
         texts = docs.select(KEY, "__text").join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, KEY)
         texts = scratch.table(texts, "texts")
@@ -290,22 +307,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     stars = rows.where("doc <> hub").groupBy("doc", "hub").agg(F.count("*").alias("c"))
     stars = stars.groupBy("doc").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-    stars = stars.join(per.select(F.col(KEY).alias("doc"), F.col("n").alias("na"), F.col("bits").alias("ma")), "doc").join(per.select(F.col(KEY).alias("hub"), F.col("n").alias("nb"), F.col("bits").alias("mb")), "hub")
-    stars = stars.where(percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")).select(F.col("doc").alias("a"), F.col("hub").alias("b"), "na", "nb", "ma", "mb")
-    links = verified(stars.mapInArrow(_bounded(percent), "a long, b long"), "stars")
+    links = verified(stars.select(F.col("doc").alias("a"), F.col("hub").alias("b")), "stars")
     comp = components(links, scratch)
 
     # what is left: tiles that hold several components
-    rows = rows.select("key", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    rows = rows.select("key", "doc", "rank").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "rank", F.coalesce("component", "doc").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rows = rows.join(mixed, "key").join(per.select(F.col(KEY).alias("doc"), "n", "bits"), "doc")
+    rows = rows.join(mixed, "key").join(per.select(F.col(KEY).alias("doc"), "n"), "doc")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     rows = rows.withColumn("top", band).select("*", F.explode(F.array(F.col("top"), F.col("top") - 1)).alias("band")).withColumn("own", (F.col("top") - F.col("band")).cast("int")).drop("top")
     rows = scratch.table(rows, "banded")
     sizes = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count_if(F.col("own") == 0).alias("mine"), F.count("*").alias("all"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     rows = rows.join(sizes.where("mine > 0 and all > 1 and x <> y").select("key", "band", "nb"), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
+    rows = scratch.table(rows, "meeting")
+    release(spark)
+    rows = rows.join(per.select(F.col(KEY).alias("doc"), F.col("small").alias("bits"), "first"), "doc")
     tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    rows = rows.select("*", F.explode(tiles).alias("t")).select("key", "band", "t.i", "t.j", "doc", "n", "comp", "own", "block", "bits")
+    rows = rows.select("*", F.explode(tiles).alias("t")).select("key", "band", "t.i", "t.j", "doc", "n", "comp", "own", "block", "bits", "rank", "first")
     rows = rows.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
     links = links.unionByName(verified(rows.mapInArrow(_tile_pairs(percent), "a long, b long").distinct(), "links"))
     comp = components(links, scratch)
