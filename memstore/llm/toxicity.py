@@ -56,24 +56,30 @@ def _terms(sample: DataFrame, text_col: str) -> list[str]:
     return [r["w"] for r in found.where(F.col("s") >= LEAST_RATIO).orderBy(F.desc("s"), "w").limit(TERMS).collect()]
 
 
-def vector(text: str | None, terms: dict[str, int]) -> np.ndarray:
-    """Presence of each term, and the log of the number of words."""
-    x = np.zeros(len(terms) + 1)
+def held_terms(text: str | None, terms: dict[str, int]) -> tuple[list[int], int]:
+    """The terms of a text by number, and its number of words."""
     words = words_of(text)
-    x[[terms[t] for t in terms_of(set(words)).intersection(terms)]] = 1
-    x[-1] = np.log1p(len(words)) / 10
+    return sorted(terms[t] for t in terms_of(set(words)).intersection(terms)), len(words)
+
+
+def matrix(rows: list[tuple[list[int], int]], terms: int) -> np.ndarray:
+    """A row for each text: presence of each term, and the log of the number of words."""
+    x = np.zeros((len(rows), terms + 1), np.float32)
+    for i, (held, words) in enumerate(rows):
+        x[i, held] = 1
+        x[i, -1] = np.log1p(words) / 10
     return x
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights, the last one the intercept, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
+    x = np.column_stack([x, np.ones(len(x), np.float32)])
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        hess = ((x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x).astype(np.float64) + np.diag(penalty)
         step = np.linalg.solve(hess, x.T @ (y - p) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
@@ -95,7 +101,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> list[np.
             own = fold == f
             if own.any() and (~own).any():
                 out[own] = probability(x[own], logistic(x[~own], labels[~own, k]))
-        x = np.column_stack([x, out])
+        x = np.column_stack([x, out.astype(np.float32)])
     return models
 
 
@@ -116,11 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     def run(batches):
         for batch in batches:
-            x = [vector(t, terms) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            rows = [held_terms(t, terms) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int64())], names=["y", "held", "n"])
 
-    got = sorted(sample.select("__y", text_col).mapInArrow(run, "y double, x array<double>").collect(), key=lambda r: (hash(tuple(r["x"])), r["y"]))
-    y, x = np.array([r["y"] for r in got]), np.array([r["x"] for r in got])
+    # as numbers of terms, few a row: the dense matrix is made once, on the driver
+    got = [(tuple(r["held"]), r["n"], r["y"]) for r in sample.select("__y", text_col).mapInArrow(run, "y double, held array<int>, n long").collect()]
+    got.sort(key=lambda r: (hash(r), r))
+    y, x = np.array([r[2] for r in got]), matrix([(list(r[0]), r[1]) for r in got], len(terms))
     speak = logistic(x, y)[: len(terms)] > 1
     return {"terms": terms, "models": fit_chain(x, np.column_stack([y, y * (x[:, : len(terms)][:, speak].sum(axis=1) >= 2)]))}
 
@@ -135,7 +143,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            p = chain(np.array([vector(t, model["terms"]) for t in texts]), model["models"]) if model and texts else np.zeros((len(texts), len(CATEGORIES)))
+            p = chain(matrix([held_terms(t, model["terms"]) for t in texts], len(model["terms"])), model["models"]).astype(np.float64) if model and texts else np.zeros((len(texts), len(CATEGORIES)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p[:, 0] >= threshold).astype(np.int32))], names=[id_col, *keep, "p_toxic", "p_repeated", "toxic"])
 
     used = docs.select(id_col, *keep, text_col)
