@@ -229,8 +229,8 @@ def _tile_pairs(percent: int):
                 x, y = np.triu_indices(e - s, 1)
                 x, y = x + s, y + s
             else:
-                first, second = rows[block[s:e] == i], rows[block[s:e] != i]
-                x, y = np.repeat(first, len(second)), np.tile(second, len(first))
+                one, other = rows[block[s:e] == i], rows[block[s:e] != i]
+                x, y = np.repeat(one, len(other)), np.tile(other, len(one))
             left.append(x)
             right.append(y)
             size += len(x)

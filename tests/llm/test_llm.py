@@ -133,9 +133,10 @@ def test_overlap_bound():
 def test_jaccard_tiles(spark, monkeypatch):
     """Blocks of few documents, and documents that share a passage without being near."""
     monkeypatch.setattr(jaccard, "BLOCK", 3)
-    shared = prose(40)
-    data = [(i, f"{shared} {prose(25)}", None, None, None, None, None, None) for i in range(25)]
-    data += [(100 + i, " ".join(shared.split(" ")[: 36 + i]), None, None, None, None, None, None) for i in range(5)]
+    monkeypatch.setattr(jaccard, "PAIRS", 4)
+    shared = prose(60)
+    data = [(i, f"{shared} {prose(22)}", None, None, None, None, None, None) for i in range(25)]
+    data += [(100 + i, " ".join(shared.split(" ")[: 50 + 2 * i]), None, None, None, None, None, None) for i in range(5)]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(data, DOC)).collect()}
     sets = {d[0]: shingles(d[1]) for d in data}
     low = {i: i for i in sets}
