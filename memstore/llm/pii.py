@@ -79,7 +79,7 @@ _MARKS = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]|\sat\s|\sdot\s|\s@\s", re.I
 _ADDRESS = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,6}\Z")
 _BRACKETS = re.compile(r"[\[({<]")
 _DIGIT_TRIGGER = re.compile(r"[0-9][0-9 ().\-]{5,}[0-9]")
-_TRIGGER = re.compile(r"[0-9][0-9 ().\-]{5,}[0-9]|\w\s*(?:[\[({<]\s*at\s*[\])}>]|\s(?:at|@)\s)\s*\w[^\n]{0,60}?(?:[\[({<]\s*dot\s*[\])}>]|\sdot\s|\s\.\s|\.)", re.I)
+_TRIGGER = re.compile(r"[0-9][0-9 ().\-]{5,}[0-9]|[0-9]{1,3}(?:(?: ?\. ?| dot )[0-9]{1,3}){3}|\w\s*(?:[\[({<]\s*at\s*[\])}>]|\s(?:at|@)\s)\s*\w[^\n]{0,60}?(?:[\[({<]\s*dot\s*[\])}>]|\sdot\s|\s\.\s|\.)", re.I)
 _PHONE_SHAPE = re.compile(r"(?:00?1?[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}\Z")
 _CARD_SHAPE = re.compile(r"[0-9]{4}([ .-]+[0-9]{4}){2}[ .-]+[0-9]{2,7}\Z")
 _IP_SHAPE = re.compile(r"[0-9]{1,3}( ?[.] ?| dot )[0-9]{1,3}( ?[.] ?| dot )[0-9]{1,3}( ?[.] ?| dot )[0-9]{1,3}\Z", re.I)
