@@ -78,6 +78,8 @@ _DOT = re.compile(r"\s*[\[({<]\s*dot\s*[\])}>]\s*|\sdot\s|\s\.\s|\.", re.I)
 _MARKS = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]|\sat\s|\sdot\s|\s@\s", re.I)
 _ADDRESS = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,6}\Z")
 _BRACKETS = re.compile(r"[\[({<]")
+_ODD_MARKS = re.compile(r"[^\w\s().@\[\]-]")
+_AT_WORD = re.compile(r"\s[Aa][Tt]\s")
 _DIGIT_TRIGGER = re.compile(r"[0-9][0-9 ().\-]{5,}[0-9]")
 _TRIGGER = re.compile(r"[0-9][0-9 ().\-]{5,}[0-9]|[0-9]{1,3}(?:(?: ?\. ?| dot )[0-9]{1,3}){3}|\w\s*(?:[\[({<]\s*at\s*[\])}>]|\s(?:at|@)\s)\s*\w[^\n]{0,60}?(?:[\[({<]\s*dot\s*[\])}>]|\sdot\s|\s\.\s|\.)", re.I)
 _PHONE_SHAPE = re.compile(r"(?:00?1?[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}\Z")
@@ -91,26 +93,36 @@ def plain_address(s: str) -> str:
     return _DOT.sub(".", _AT.sub("@", s))
 
 
-def segment_features(text: str, s: int, e: int, tokens: int, kind: str) -> list[int]:
-    """Indices of the features that hold for text[s:e] as a span of `kind`."""
+def plain_features(text: str, s: int, e: int, tokens: int) -> tuple[list[int], list[int]]:
+    """Indices of the features of text[s:e] that hold for any kind: those before the cue, and those after it."""
     seg = text[s:e]
     digits = _NOT_DIGIT.sub("", seg)
     n = len(digits)
-    address = bool(_MARKS.search(seg)) and bool(_ADDRESS.match(plain_address(seg)))
+    marks = bool(_MARKS.search(seg))
+    address = marks and bool(_ADDRESS.match(plain_address(seg)))
     f = [0]
-    f += [1] * address + [2] * bool(_MARKS.search(seg) and "dot" in seg.lower())
+    f += [1] * address + [2] * (marks and "dot" in seg.lower())
     f += [3] * bool(_PHONE_SHAPE.match(seg)) + [4] * bool(_CARD_SHAPE.match(seg))
     f += [5] * (14 <= n <= 19 and luhn(digits))
     ip = bool(_IP_SHAPE.match(seg))
     f += [6] * ip + [7] * (ip and all(int(p) <= 255 for p in re.findall(r"[0-9]+", seg)))
     f.append(8 if 7 <= n <= 9 else 9 if 10 <= n <= 13 else 10 if 14 <= n <= 19 else 11)
     f += [12] * (not address and any(c.isalpha() for c in seg) and not ip)
-    f += [13] * bool(re.search(r"[^\w\s().@\[\]-]", seg))
+    f += [13] * bool(_ODD_MARKS.search(seg))
     f += [14] * bool((s and (text[s - 1].isalnum() or text[s - 1] in "=\"'#/_+$.-")) or (e < len(text) and (text[e].isalnum() or text[e] in "\"'/_%@-")))
+    return f, [16] * (e - s > 60) + [17] * (tokens == 1)
+
+
+def cued(text: str, s: int) -> list[str]:
+    """The kinds of which a cue stands before s."""
     before = text[max(0, s - 24) : s].lower()
-    f += [15] * any(c in before for c in _CUES[kind])
-    f += [16] * (e - s > 60) + [17] * (tokens == 1)
-    return f
+    return [k for k in KINDS if any(c in before for c in _CUES[k])]
+
+
+def segment_features(text: str, s: int, e: int, tokens: int, kind: str) -> list[int]:
+    """Indices of the features that hold for text[s:e] as a span of `kind`."""
+    f, rest = plain_features(text, s, e, tokens)
+    return f + [15] * (kind in cued(text, s)) + rest
 
 
 def segments(text: str, lo: int, hi: int, taken: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -145,7 +157,14 @@ class SegmentCrf:
         self.w = weights
 
     def scored(self, text: str, toks, cands) -> list[tuple[int, int, str, float]]:
-        return [(i, j, k, float(self.w[k][segment_features(text, toks[i][0], toks[j - 1][1], j - i, k)].sum())) for i, j in cands for k in KINDS]
+        """(i, j, kind, score) of each candidate; what doesn't depend on the kind is found once for all."""
+        cues = {i: cued(text, toks[i][0]) for i in {i for i, _ in cands}}
+        out = []
+        for i, j in cands:
+            f, rest = plain_features(text, toks[i][0], toks[j - 1][1], j - i)
+            plain, cue = f + rest, f + [15] + rest
+            out += [(i, j, k, float(self.w[k][cue if k in cues[i] else plain].sum())) for k in KINDS]
+        return out
 
     def decode(self, text: str, lo: int, hi: int, taken) -> list[Span]:
         """Best segmentation; a span is kept if its score exceeds MARGIN."""
@@ -289,8 +308,8 @@ def joined(spans: list[Span]) -> str:
 
 
 def spelled(text: str) -> bool:
-    """Whether a text may hold the marks of a spelled-out address; plain searches first, as few texts do."""
-    return ("@" in text or "dot" in text.lower() or _BRACKETS.search(text) is not None) and _MARKS.search(text) is not None
+    """Whether a text may hold what _TRIGGER finds besides digit runs: brackets, @, dot or at are in any such text; plain searches first."""
+    return ("@" in text or "dot" in text.lower() or _BRACKETS.search(text) is not None or _AT_WORD.search(text) is not None) and _MARKS.search(text) is not None
 
 
 def find_spans(text: str, crf: SegmentCrf) -> tuple[list[Span], list[Span]]:

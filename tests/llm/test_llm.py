@@ -294,6 +294,19 @@ def test_recall_by_form(kind, a, b):
     assert hit >= 90
 
 
+def test_precheck_misses_no_trigger():
+    """Whether an address is examined doesn't depend on characters elsewhere in the text."""
+    crf = pii.train()
+    for text in ["mail jane at example.com today", "mail jane\tAT example.com today", "mail jane\nat\u2003example.com today"]:
+        assert pii.find_spans(text, crf) == pii.find_spans(text + " (soon)", crf) and pii.spelled(text), text
+    assert pii.find_spans("mail jane at example.com today", crf) == ([], [("email", 5, 24)])
+    r, pieces = random.Random(3), ["at", "AT", "aT", " ", "\t", "\u00a0", "@", "dot", "Dot", ".", "[", ")", "x", "é", "1", " 2 ", "\n"]
+    for _ in range(20_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(3, 14)))
+        if any(not pii._DIGIT_TRIGGER.fullmatch(m.group()) for m in pii._TRIGGER.finditer(text)):
+            assert pii.spelled(text) or all(re.fullmatch(r"[0-9 .]+", m.group()) for m in pii._TRIGGER.finditer(text)), text
+
+
 def test_pii_query(spark, rows):
     data, df = rows
     got = {r["doc_id"]: r for r in pii.find_pii(df).collect()}
