@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,8 +17,12 @@ from memstore.functions.scoring import Weights, score
 from memstore.operators import filters as P
 from memstore.schema import MAX_COUNT
 
-#: Queries of one batch at most: they go to every task.
+#: Queries of one block: they go to every task.
 MAX_QUERIES = 4096
+#: Products that a task holds at once.
+CELLS = 1 << 22
+#: More than the rounding of a score in matrix products.
+MARGIN = 1e-9
 
 
 @dataclass(frozen=True)
@@ -68,28 +74,15 @@ def recall(mem: DataFrame, req: Request, now: int, candidates: DataFrame | None
     return rows.withColumn("score", score(F.col("similarity"), req.weights, now)).orderBy(F.desc("score"), tie).limit(req.top_k)
 
 
-def recall_batch(mem: DataFrame, queries: DataFrame, req: Request, now: int) -> DataFrame:
-    """Top rows for each of (qid, qvector): MAX_QUERIES at most, which is checked.
-
-    Each task ranks its rows by matrix products and passes on the best of each query, with a
-    margin for rounding; only those are scored exactly and ranked by a window over qid."""
-    rows = queries.select("qid", "qvector").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise Invalid(f"more than {MAX_QUERIES} queries in a batch")
-    q = np.array([r["qvector"] for r in rows], np.float64)
-    ids = [r["qid"] for r in rows]
-    if not rows:
-        return queries.select("qid").limit(0).crossJoin(mem.limit(0)).withColumn("similarity", F.lit(0.0)).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
-    kind, k = V.metric(req.metric), req.top_k
-    base = eligible(mem, req, now)
-    rest = score(F.lit(0.0), req.weights, now)
-    slim = base.select("slot", "vector", rest.alias("rest"))
+def _best(slim: DataFrame, ids: list, q: np.ndarray, req: Request) -> DataFrame:
+    """(qid, slot, near) that each task passes on for one block of queries: the best top_k of its rows by
+    the score in matrix products, with a margin for rounding."""
+    kind, k, wide = V.metric(req.metric), req.top_k, max(1, CELLS // len(ids))
 
     def best(batches):
         kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        least = np.full(len(ids), -np.inf)
+        for batch in (part.slice(at, wide) for part in batches for at in range(0, part.num_rows, wide)):
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             if len(flat) != batch.num_rows * q.shape[1]:
                 raise DimensionMismatch(q.shape[1], len(flat) // batch.num_rows)
@@ -102,19 +95,40 @@ def recall_batch(mem: DataFrame, queries: DataFrame, req: Request, now: int) ->
                 s = 1 / (1 + np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * s, 0)))
             s = req.weights.similarity * s + batch.column(2).to_numpy(zero_copy_only=False)[None]
             slot = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(len(ids)):
-                v, w = np.concatenate([kept[i][0], s[i]]), np.concatenate([kept[i][1], slot])
+            new = ~(s < least[:, None])
+            for i in np.flatnonzero(new.any(axis=1)):
+                v, w = np.concatenate([kept[i][0], s[i][new[i]]]), np.concatenate([kept[i][1], slot[new[i]]])
                 if len(v) > k:
-                    near = v >= np.partition(v, len(v) - k)[len(v) - k] - 1e-9
+                    least[i] = np.partition(v, len(v) - k)[len(v) - k] - MARGIN
+                    near = v >= least[i]
                     v, w = v[near], w[near]
                 kept[i] = (v, w)
         n = [len(w) for _, w in kept]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([w for _, w in kept]))], names=["qid", "slot"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([w for _, w in kept])), pa.array(np.concatenate([v for v, _ in kept]))], names=["qid", "slot", "near"])
+
+    return slim.mapInArrow(best, "qid long, slot long, near double")
 
-    found = slim.mapInArrow(best, "qid long, slot long")
-    rows = base.join(found, "slot").join(F.broadcast(queries.select("qid", "qvector")), "qid")
+
+def recall_batch(mem: DataFrame, queries: DataFrame, req: Request, now: int) -> DataFrame:
+    """Top rows for each of (qid, qvector), in blocks of MAX_QUERIES: a scan of the rows for each block.
+
+    Each task ranks its rows by matrix products and passes on the best of each query, with a
+    margin for rounding; what is among the best of all tasks, by the same margin, is scored
+    exactly and ranked by a window over qid."""
+    base = eligible(mem, req, now)
+    slim = base.select("slot", "vector", score(F.lit(0.0), req.weights, now).alias("rest"))
+    rows, blocks = queries.select("qid", "qvector").toLocalIterator(), []
+    while block := list(itertools.islice(rows, MAX_QUERIES)):
+        blocks.append(_best(slim, [r["qid"] for r in block], np.array([r["qvector"] for r in block], np.float64), req))
+    if not blocks:
+        return queries.select("qid").limit(0).crossJoin(mem.limit(0)).withColumn("similarity", F.lit(0.0)).withColumn("score", F.lit(0.0)).withColumn("rank", F.lit(0))
+    asked, own = queries.select("qid", "qvector"), Window.partitionBy("qid")
+    found = functools.reduce(DataFrame.unionAll, blocks).withColumn("__r", F.row_number().over(own.orderBy(F.desc("near"))))
+    found = found.withColumn("__least", F.max(F.when(F.col("__r") == req.top_k, F.col("near"))).over(own) - MARGIN)
+    found = found.where(F.col("__least").isNull() | (F.col("near") >= F.col("__least"))).select("qid", "slot")
+    rows = base.join(found, "slot").join(F.broadcast(asked) if len(blocks) == 1 else asked, "qid")
     rows = rows.withColumn("similarity", V.similarity(req.metric, F.col("vector"), F.col("qvector"))).withColumn("score", score(F.col("similarity"), req.weights, now))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slot"))).where(F.col("rank") <= k).drop("qvector")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "slot"))).where(F.col("rank") <= req.top_k).drop("qvector")
 
 
 def touch(catalog: DataFrame, hits: DataFrame, key: str = "slot") -> DataFrame:

@@ -213,17 +213,26 @@ _recalled("recall_types", "memory_type IN ('semantic', 'episodic')", memory_type
 _recalled("recall_weights", weights=S.Weights(0.5, 1.0, 0.7, 0.05, 86400.0))
 
 
-@query(
-    "mem",
+_BATCH = (
     f"SELECT qid, slot, rank, round(score, 6) AS score FROM (SELECT qid, slot, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, slot) AS rank FROM "
     f"(SELECT q.slot AS qid, m.slot, {_cos('m.vector', 'q.vector')} + CAST(0.3 AS DOUBLE) * {_RECENCY.replace('accessed_at', 'm.accessed_at')} + CAST(0.2 AS DOUBLE) * m.importance + CAST(0.1 AS DOUBLE) * {_FREQUENCY.replace('access_count', 'm.access_count')} AS score "
-    f"FROM mem m CROSS JOIN (SELECT slot, vector FROM mem WHERE slot < 20) q WHERE NOT m.deleted AND (m.ttl_secs IS NULL OR {NOW} - m.created_at < m.ttl_secs))) WHERE rank <= 10",
+    f"FROM mem m CROSS JOIN (SELECT slot, vector FROM mem WHERE slot < 20) q WHERE NOT m.deleted AND (m.ttl_secs IS NULL OR {NOW} - m.created_at < m.ttl_secs))) WHERE rank <= 10"
 )
+
+
+@query("mem", _BATCH)
 def recall_batch(mem):
     queries = mem.where("slot < 20").select(F.col("slot").alias("qid"), F.col("vector").alias("qvector"))
     return R.recall_batch(mem, queries, R.Request(), NOW).select("qid", "slot", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("mem", _BATCH.replace("slot < 20", "slot % 20 = 0"))
+def recall_batch_all(mem):
+    """Every id divisible by 20 against all rows, at any size."""
+    queries = mem.where("slot % 20 = 0").select(F.col("slot").alias("qid"), F.col("vector").alias("qvector"))
+    return R.recall_batch(mem, queries, R.Request(), NOW).select("qid", "slot", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("mem access_log", "SELECT m.slot, coalesce(l.last_at, m.accessed_at) AS accessed_at, CAST(m.access_count + coalesce(l.n, 0) AS BIGINT) AS access_count FROM mem m LEFT JOIN (SELECT slot, max(access_log.at) AS last_at, count(*) AS n FROM access_log GROUP BY slot) l USING (slot)")
 def track_access(mem, log):
     return R.touch(mem.select("slot", "accessed_at", F.col("access_count").cast("long").alias("access_count")), log).select("slot", "accessed_at", "access_count")

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from memstore.operators import ann, cache
+from memstore.operators import ann, cache, recall
 from memstore.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -44,6 +44,15 @@ def test_without_oracle(spark):
     assert QUERIES["index_info"](spark, DATA).first()["subspaces"] == 8
 
 
+def test_recall_batch_in_blocks(spark, monkeypatch):
+    """More queries than a block holds: the same rows as in one block, and a row of each query."""
+    found = lambda: sorted(tuple(r) for r in QUERIES["recall_batch_all"](spark, DATA).collect())
+    whole = found()
+    monkeypatch.setattr(recall, "MAX_QUERIES", 7)
+    monkeypatch.setattr(recall, "CELLS", 100)
+    assert found() == whole and {r[0] for r in whole} == set(range(0, 500, 20))
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 9)), max_size=12), st.integers(0, 6), st.integers(0, 20))
 def test_lru_equals_a_loop(spark, puts, entries, size):
