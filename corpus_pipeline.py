@@ -17,10 +17,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no text or no letters); lang becomes the predicted one.
 
     Profiles are learned from the stage's own documents that have a language, without the
-    quarter that is held out."""
+    quarter that is held out; where there are none, the rest keep the lang that they have."""
     from memstore.llm.langid import UNKNOWN, learn, predict
 
     profiles = learn(docs.where(~held_out("doc_id", 4, 2)))
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     judged = predict(docs.withColumn("__text", F.col("text")), profiles, text_col="text", keep=["__text", "source", "n_chars"])
     return judged.where(F.col("lang_pred") != UNKNOWN).select("doc_id", F.col("__text").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
 

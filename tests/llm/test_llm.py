@@ -477,3 +477,18 @@ def test_pipeline(spark, tmp_path):
     assert sizes[0] == len([d for d in data if d[1] and re.search(r"[^\W\d_]", d[1])]) and sizes[1] < sizes[0]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+def test_pipeline_without_languages(spark):
+    """No profile can be learned: only documents without text or letters go, and lang stays."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    data = [(i, t, None, "s", len(t or "")) for i, t in enumerate(texts())]
+    want = [d for d in data if d[1] and re.search(r"[^\W\d_]", d[1])]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(data, kind), "")
+    assert out.columns == corpus_pipeline.COLUMNS and sorted(tuple(r) for r in out.collect()) == sorted(want) and 0 < len(want) < len(data)
+    held = [next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)]
+    data = [(held[0], "only one with a language", "en", "s", 24), (1000, "plain words", None, "s", 11), (1001, "1 2 3", None, "s", 5)]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(data, kind), "")
+    assert sorted(tuple(r) for r in out.collect()) == data[:2]
