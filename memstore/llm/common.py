@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -19,25 +18,40 @@ KEY = "__key"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: How scratch tables are written: shuffle files go when the execution that made them ends, as
+#: nothing reads them again, and rows reach Python in small batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir.  Where that is unset: the warehouse on a cluster, a temporary folder on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="memstore-scratch-")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        found = "file://" + tempfile.mkdtemp(prefix="memstore-scratch-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder, to cut lineage durably; those no longer needed are dropped early."""
+    """Tables written to the shared folder, to cut lineage durably.  Those no longer needed are
+    dropped early, the rest when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made, self.live = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
+        self._files(self.root)[0].deleteOnExit(self._files(self.root)[1])
 
     def table(self, df: DataFrame, name: str, pinned: bool = False) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = {k: self.spark.conf.get(k) for k in WRITING}
+        try:
+            for k, v in WRITING.items():
+                self.spark.conf.set(k, v)
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(T.StructType.fromJson(df.schema.jsonValue())).parquet(path)
         out._scratch_path = path
         self.live[path] = pinned
@@ -51,19 +65,16 @@ class Scratch:
         out = self.table(df, name)
         for path in [p for p, pinned in self.live.items() if not pinned and p != out._scratch_path]:
             self._delete(path)
-        release(self.spark)
         return out
 
-    def _delete(self, name: str) -> None:
+    def _files(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.live.pop(name, None)
-
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished plans now rather than at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    def _delete(self, name: str) -> None:
+        files, path = self._files(name)
+        files.delete(path, True)
+        self.live.pop(name, None)
 
 
 def keyed(df: DataFrame, id_col: str, columns: list[str], scratch: Scratch) -> DataFrame:
@@ -85,6 +96,10 @@ def keyed(df: DataFrame, id_col: str, columns: list[str], scratch: Scratch) -> D
 SMALL_EDGES = 2_000_000
 
 
+#: New edges that a task gathers, at least, before it shrinks them.
+COMPACT = 500_000
+
+
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of some edges, sorted, and the smallest node that each reaches through them."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -104,11 +119,14 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _forests(batches):
     """One forest for all edges of a partition, gathered so that memory stays bounded by its distinct nodes."""
     u = v = np.zeros(0, np.int64)
+    some, held, limit = [], 0, COMPACT
     for batch in batches:
-        u = np.concatenate([u, batch.column(0).to_numpy(zero_copy_only=False)])
-        v = np.concatenate([v, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(u) > 500_000:
-            u, v = forest(u, v)
+        some.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+        held += batch.num_rows
+        if held > limit:  # twice what the last forest left, so that all sorting together stays near linear
+            u, v = forest(np.concatenate([u, *(s[0] for s in some)]), np.concatenate([v, *(s[1] for s in some)]))
+            some, held, limit = [], 0, max(COMPACT, len(u))
+    u, v = np.concatenate([u, *(s[0] for s in some)]), np.concatenate([v, *(s[1] for s in some)])
     u, v = forest(u, v)
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 

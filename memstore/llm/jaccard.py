@@ -4,12 +4,18 @@ Method: documents meet in size-banded tiles and are compared there by hashed bit
 bit counts bound the overlap from above; what remains is decided by exact intersection of
 sorted shingle arrays.  A tile is one shingle of the documents' prefixes: of two sets whose
 Jaccard similarity reaches t, the first common shingle in any fixed order stands among the
-first n - ceil(t n) + 1 of each set of n.  The order is by hash, with shingles that are
-frequent in a bounded sample last; the order's choice changes the cost, never the result.
-
-Only components are asked for, so links inside a component already known needn't be found:
-first each document is compared with the hub (least document) that it shares most tiles
-with, then only documents of different components are compared, tile by tile.
+first n - ceil(t n) + 1 of each set of n.
+
+The order is by document frequency, counted over all documents, so a passage that many
+documents share comes last.  A shingle of one document is in no intersection: documents
+with more than n - ceil(t n) of those link with nothing and go no further, and of the others
+only the shared shingles are kept.  A shingle that more than OFTEN documents of one chunk
+hold is not gathered anywhere: its documents learn that it is shared where they stand.
+
+Only components are asked for, so links inside a component already known needn't be found.
+First each document is compared with the hub (least document) that it shares most tiles
+with; then with its best partner of another component in each tile; then what is left.
+Tiles with the same documents count once.
 """
 
 from __future__ import annotations
@@ -19,19 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import KEY, Scratch, components, keyed, mix64, prefix_hash, release, slices, span_hash, utf8
+from memstore.llm.common import KEY, Scratch, components, keyed, mix64, prefix_hash, slices, span_hash, utf8
 
 WORDS, PERCENT = 5, 75
-#: Documents in the sample that tells frequent shingles, sample documents that make one frequent, most of them kept.
-SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4096, 4, 50_000
-#: 64-bit words of a bitmap in a tile, first prefix shingles that tell where a pair met before.
-TILE_WORDS, FIRST = 8, 4
-#: Documents of one side of a tile; pairs compared at a time.
-BLOCK, PAIRS = 1024, 1_000_000
-#: Ids up to which a set of documents is broadcast (8 bytes each).
-BROADCAST_IDS = 500_000
+#: Bytes of text in a chunk; documents of a chunk above which a shingle counts as frequent everywhere.
+CHUNK, OFTEN = 8_000_000, 16
+#: Shingles of a bucket on average, least number of buckets.
+BUCKET, BUCKETS = 1_000_000, 256
+#: Shared entries that a task gathers before it passes them on.
+HELD = 500_000
+#: Order of frequent shingles; others have the logarithm of their document frequency, in eighths.
+LAST = 255
+#: Documents of one side of a tile, and of one comparison with a hub.
+BLOCK = 1024
 #: Bytes of text worked on at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,9 +84,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap of a set: the least power of two bits that is >= n and >= 64.  The bits in
+    """Parity bitmap of a set: the least power of two bits that is >= 2n and >= 64.  The bits in
     which two of them differ are at most as many as the elements in which the sets do."""
-    width = max(64, 1 << (max(len(s), 1) - 1).bit_length())
+    width = max(64, 1 << (2 * max(len(s), 1) - 1).bit_length())
     bits = np.bincount((s >> np.uint64(3)).astype(np.int64) & (width - 1), minlength=width).astype(np.uint8) & 1
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -91,242 +99,350 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def overlap_bound(na: np.ndarray, nb: np.ndarray, maps_a: list[bytes], maps_b: list[bytes]) -> np.ndarray:
-    """An upper bound of each pair's intersection, from bit counts."""
-    la, lb = np.array([len(x) for x in maps_a]) // 8, np.array([len(x) for x in maps_b]) // 8
-    out = np.minimum(na, nb).astype(np.int64)
-    code = la * (1 << 24) + lb
-    for c in np.unique(code):
-        at = np.flatnonzero(code == c)
-        a = np.frombuffer(b"".join([maps_a[i] for i in at]), np.uint64).reshape(len(at), -1)
-        b = np.frombuffer(b"".join([maps_b[i] for i in at]), np.uint64).reshape(len(at), -1)
-        width = min(a.shape[1], b.shape[1])
-        differ = np.bitwise_count(folded(a, width) ^ folded(b, width)).sum(axis=1, dtype=np.int64)
-        out[at] = np.minimum(out[at], (na[at] + nb[at] - differ) // 2)
-    return out
+def overlap_bound(ka, kb, a: np.ndarray, b: np.ndarray):
+    """An upper bound of the intersection of sets of ka and kb elements, from their bitmaps (rows of one width)."""
+    return (ka + kb - np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)) // 2
 
 
 def linked(common, na, nb, percent: int = PERCENT):
     return 100 * common >= percent * (na + nb - common)
 
 
-def _per_document(percent: int, words: int, frequent: np.ndarray):
+class _Chunk:
+    """Shingles of some documents, to be dealt to buckets."""
+
+    def __init__(self, buckets: int):
+        self.bits, self.docs, self.sizes, self.sets, self.bytes = buckets.bit_length() - 1, [], [], [], 0
+
+    def add(self, doc: int, s: np.ndarray) -> None:
+        if len(s):
+            self.docs.append(doc)
+            self.sizes.append(len(s))
+            self.sets.append(s)
+
+    def rows(self):
+        """(bucket, shingles, their documents by number, documents, set sizes) as columns; a bucket
+        below 0 holds frequent shingles, whose bucket gets a mark instead."""
+        if not self.docs:
+            return
+        docs, sizes = np.array(self.docs, np.int64), np.array(self.sizes, np.int32)
+        h = np.concatenate(self.sets)
+        own = np.repeat(np.arange(len(docs), dtype=np.uint32), sizes)
+        order = np.argsort(h)
+        h, own = h[order], own[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        count = np.diff(np.append(first, len(h)))
+        often = count > OFTEN
+        if often.any():
+            hot = np.repeat(often, count)
+            yield self._batch(np.array([-1 - int(docs[0]) % 1024]), h[hot], own[hot], np.array([0, hot.sum()]), docs, sizes)
+            stay = ~hot
+            stay[first[often]] = True
+            own[first[often]] = len(docs)
+            h, own = h[stay], own[stay]
+        bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        yield self._batch(bucket[cut], h, own, np.append(cut, len(h)), np.append(docs, 0), np.append(sizes, np.int32(0)))
+        self.docs, self.sizes, self.sets, self.bytes = [], [], [], 0
+
+    @staticmethod
+    def _batch(bucket, h, own, cut, docs, sizes) -> pa.RecordBatch:
+        cols: list[list] = [[], [], [], []]
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            used, at = np.unique(own[s:e], return_inverse=True)
+            for col, v in zip(cols, (planes(h[s:e]), at.astype(np.uint32 if len(used) > 65536 else np.uint16).tobytes(), planes(np.diff(docs[used], prepend=0)), planes(sizes[used])), strict=True):
+                col.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "h", "at", "docs", "sizes"])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: of sorted hashes, and of near numbers, the high ones repeat, so they take little room."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _sizes(words: int):
+    """n and two sums of each document's set; equal sets have equal ones."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1, SLICE):
-                n, s1, s2, pre, maps, small = [], [], [], [], [], []
+                n, s1, s2 = [], [], []
                 for s in shingle_sets(*utf8(part.column(1)), words):
                     n.append(len(s))
                     s1.append(int(mix64(s + np.uint64(1)).sum(dtype=np.uint64)))
                     s2.append(int(np.bitwise_xor.reduce(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(s) else 0))
-                    p = prefix_length(len(s), percent) if len(s) else 0
-                    first = s[:p]
-                    if len(frequent) and p:
-                        often = np.isin(s, frequent, assume_unique=True)
-                        if often.any():
-                            first = np.concatenate([s[~often], s[often]])[:p]
-                    pre.append(first.view(np.int64))
-                    maps.append(bitmap(s) if len(s) else b"")
-                    small.append(folded(np.frombuffer(maps[-1], np.uint64)[None], TILE_WORDS).tobytes() if len(s) else b"")
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(pre, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(small, pa.binary())],
-                    names=[KEY, "n", "s1", "s2", "prefix", "bits", "small"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64))], names=[KEY, "n", "s1", "s2"])
 
     return run
 
 
-def _frequent(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """Shingles that FREQUENT documents of a sample hold; the sample is SAMPLE_DOCS ids, broadcast."""
-
+def _deal(words: int, buckets: int):
     def run(batches):
+        chunk = _Chunk(buckets)
         for batch in batches:
-            for part in slices(batch, 0, SLICE):
-                sets = list(shingle_sets(*utf8(part.column(0)), words))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
+            for part in slices(batch, 1, SLICE):
+                data, off = utf8(part.column(1))
+                for doc, s in zip(part.column(0).to_pylist(), shingle_sets(data, off, words), strict=True):
+                    chunk.add(doc, s)
+                chunk.bytes += len(data)
+                if chunk.bytes >= CHUNK:
+                    yield from chunk.rows()
+        yield from chunk.rows()
 
-    some = docs.select(KEY).orderBy(F.xxhash64(KEY)).limit(SAMPLE_DOCS)
-    seen = docs.select(KEY, text_col).join(F.broadcast(some), KEY).select(text_col).mapInArrow(run, "s long").groupBy("s").count()
-    rows = seen.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r["s"] for r in rows], np.int64).view(np.uint64))
+    return run
 
 
-def _verify(words: int, percent: int):
-    """Keeps the pairs whose sets are linked, by exact intersection; columns a, b, ta, tb."""
+def _by_key(batches, columns: tuple[int, ...] = (0,)):
+    """The rows of each value of some columns, by which they come sorted, as tables."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, t]) if held is not None else t
+        if not held.num_rows:
+            continue
+        keys = [held.column(c).to_numpy() for c in columns]
+        cut = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            yield held.slice(s, e - s)
+        held = held.slice(int(cut[-1]))
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _shared(groups: int):
+    """The shared shingles of buckets: (group of documents, documents, set sizes, entries of each, shingles, order)."""
+
+    def entries(t: pa.Table):
+        own = [np.cumsum(from_planes(x, np.int64)) for x in t.column("docs").to_pylist()]
+        size = [from_planes(x, np.int32) for x in t.column("sizes").to_pylist()]
+        h = [from_planes(x, np.uint64) for x in t.column("h").to_pylist()]
+        at = [np.frombuffer(x, np.uint32 if len(d) > 65536 else np.uint16) for x, d in zip(t.column("at").to_pylist(), own, strict=True)]
+        doc = np.concatenate([d[a] for d, a in zip(own, at, strict=True)])
+        n = np.concatenate([d[a] for d, a in zip(size, at, strict=True)])
+        h = np.concatenate(h)
+        if t.column("bucket")[0].as_py() < 0:
+            return doc, n, h, np.full(len(h), LAST, np.uint8)
+        order = np.argsort(h)
+        h, doc, n = h[order], doc[order], n[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        count = np.diff(np.append(first, len(h)))
+        marked = np.add.reduceat(n == 0, first) > 0  # a mark has no set size
+        level = np.where(marked, LAST, np.minimum(8 * np.log2(count), LAST - 1)).astype(np.uint8)
+        level = np.repeat(level, count)
+        keep = np.repeat((count > 1) | marked, count) & (n > 0)
+        return doc[keep], n[keep], h[keep], level[keep]
+
+    def packed(some: list):
+        doc, n, h, level = (np.concatenate([x[i] for x in some]) for i in range(4))
+        group = (mix64(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((doc, group))
+        doc, n, h, level, group = doc[order], n[order], h[order], level[order], group[order]
+        fresh = np.append(True, doc[1:] != doc[:-1])
+        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        cols: list[list] = [[], [], [], [], []]
+        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
+            f = np.flatnonzero(fresh[s:e])
+            for col, v in zip(cols, (doc[s:e][f], n[s:e][f], np.diff(np.append(f, e - s)).astype(np.int32), h[s:e], level[s:e]), strict=True):
+                col.append(v.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(group[cut], pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["group", "docs", "sizes", "counts", "h", "level"])
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, 2, SLICE):
-                a, b = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                sets: dict[int, np.ndarray] = {}
-                for ids, column in ((a, part.column(2)), (b, part.column(3))):
-                    fresh = [i for i, k in enumerate(ids.tolist()) if k not in sets]
-                    first = {int(ids[i]): i for i in reversed(fresh)}
-                    if first:
-                        got = column.take(pa.array(list(first.values())))
-                        sets |= dict(zip(first, shingle_sets(*utf8(got), words), strict=True))
-                keep = []
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    keep.append(linked(common, len(sets[x]), len(sets[y]), percent))
-                keep = np.array(keep, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        some, held = [], 0
+        for t in _by_key(batches):
+            found = entries(t)
+            some.append(found)
+            held += len(found[0])
+            if held >= HELD:
+                yield packed(some)
+                some, held = [], 0
+        if held:
+            yield packed(some)
+
+    return run
+
+
+def _sets(percent: int):
+    """Documents that can link: KEY, n, their shared shingles (sorted), bitmap, prefix tiles and those tiles' ranks."""
+
+    def run(batches):
+        for t in _by_key(batches):
+            read = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]  # noqa: B023, E731
+            counts = np.concatenate(read("counts", np.int32))
+            doc, n = (np.repeat(np.concatenate(read(c, k)), counts) for c, k in (("docs", np.int64), ("sizes", np.int32)))
+            h, level = np.concatenate(read("h", np.uint64)), np.concatenate(read("level", np.uint8))
+            order = np.lexsort((h, level, doc))
+            doc, n, h = doc[order], n[order], h[order]
+            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            out = []
+            for s, e in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True):
+                size, shared = int(n[s]), e - s
+                alone = size - shared
+                p = prefix_length(size, percent) - alone
+                if p > 0:
+                    own = np.sort(h[s:e])
+                    out.append((int(doc[s]), size, own.tobytes(), bitmap(own), h[s : s + p].view(np.int64), np.arange(alone, alone + p, dtype=np.int32)))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[KEY, "n", "shared", "bits", "prefix", "ranks"])
 
     return run
 
 
-def _bounded(percent: int):
-    """Keeps the pairs (a, b, na, nb, ma, mb) whose bit counts allow a link."""
+def _verify(percent: int):
+    """Links (a, b) of rows (hub, salt, role, doc, n, shared): the hub, role 0, comes before the documents compared with it."""
 
     def run(batches):
+        hub = None
         for batch in batches:
-            a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            keep = linked(overlap_bound(na, nb, batch.column(4).to_pylist(), batch.column(5).to_pylist()), na, nb, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            a, b = [], []
+            for role, doc, n, raw in zip(*(batch.column(c).to_pylist() for c in ("role", "doc", "n", "shared")), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                if role == 0:
+                    hub = doc, n, s
+                elif linked(len(np.intersect1d(s, hub[2], assume_unique=True)), n, hub[1], percent):
+                    a.append(doc)
+                    b.append(hub[0])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _tile_pairs(percent: int):
-    """Candidate pairs of tiles.  Rows come sorted by (key, band, i, j); the last tile of a batch waits for the next."""
+def _tile_pairs(percent: int, best: bool):
+    """Pairs of different components that the bounds of a tile allow; with `best` one for each document, that of the greatest bound.
+
+    Rows come sorted by (key, band, i, j).  Bounds of the overlap: the bit counts, and the places
+    in the common order: before the shared shingle lie min(i, j) common ones at most, after
+    it as many as the shorter rest."""
 
     def settle(t: pa.Table):
-        key = [t.column(c).to_numpy() for c in ("key", "band", "i", "j")]
-        fresh = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
-        at = np.append(np.flatnonzero(fresh), t.num_rows)
-        doc, n, comp, own, block = (t.column(c).to_numpy() for c in ("doc", "n", "comp", "own", "block"))
-        bits = t.column("bits").to_pylist()
-        rank = np.minimum(t.column("rank").to_numpy(), FIRST)
-        first = np.zeros((t.num_rows, FIRST), np.int64)
-        known = np.zeros((t.num_rows, FIRST), bool)
-        for i, keys in enumerate(t.column("first").to_pylist()):
-            first[i, : len(keys)] = keys
-            known[i, : min(len(keys), rank[i])] = True
-        left, right, size = [], [], 0
-
-        def judge():
-            x, y = np.concatenate(left), np.concatenate(right)
+        doc, n, comp, own, block, rank = (t.column(c).to_numpy() for c in ("doc", "n", "comp", "own", "block", "rank"))
+        maps = t.column("bits").to_pylist()
+        width = min(len(x) for x in maps) // 8
+        bits = np.concatenate([folded(np.frombuffer(x, np.uint64)[None], width) for x in maps])
+        shared = t.column("k").to_numpy()
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        rows = np.arange(len(doc))
+        one, other = (rows, rows) if i == j else (rows[block == i], rows[block != i])
+        found_x, found_y, bounds = [], [], []
+        for at, x in enumerate(one.tolist()):
+            y = other[at + 1 :] if i == j else other
             lo, hi = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            ok = (comp[x] != comp[y]) & (100 * lo >= percent * hi) & ((own[x] == 0) | (own[y] == 0))
-            x, y = x[ok], y[ok]
-            # a pair that shares an earlier shingle has met in that one's tile
-            met = np.zeros(len(x), bool)
-            for c in range(FIRST):
-                for d in range(FIRST):
-                    met |= (first[x, c] == first[y, d]) & known[x, c] & known[y, d]
-            x, y = x[~met], y[~met]
-            if len(x):
-                bound = overlap_bound(n[x], n[y], [bits[i] for i in x], [bits[i] for i in y])
-                ok = linked(bound, n[x], n[y], percent)
-                x, y = x[ok], y[ok]
-            pair = np.unique(np.stack([np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y])]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-
-        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            i, j = key[2][s], key[3][s]
-            rows = np.arange(s, e)
-            if i == j:
-                x, y = np.triu_indices(e - s, 1)
-                x, y = x + s, y + s
-            else:
-                one, other = rows[block[s:e] == i], rows[block[s:e] != i]
-                x, y = np.repeat(one, len(other)), np.tile(other, len(one))
-            left.append(x)
-            right.append(y)
-            size += len(x)
-            if size >= PAIRS:
-                yield judge()
-                left, right, size = [], [], 0
-        if left:
-            yield judge()
+            y = y[(comp[x] != comp[y]) & (100 * lo >= percent * hi) & ((own[x] == 0) | (own[y] == 0))]
+            if not len(y):
+                continue
+            bound = np.minimum(overlap_bound(shared[x], shared[y], bits[x], bits[y]), np.minimum(rank[x], rank[y]) + np.minimum(n[x] - rank[x], n[y] - rank[y]))
+            ok = linked(bound, n[x], n[y], percent)
+            found_x.append(np.full(int(ok.sum()), x))
+            found_y.append(y[ok])
+            bounds.append(bound[ok])
+        if not found_x:
+            return np.zeros((2, 0), np.int64)
+        x, y, bound = np.concatenate(found_x), np.concatenate(found_y), np.concatenate(bounds)
+        if best:
+            both, score = np.concatenate([x, y]), np.concatenate([bound, bound])
+            order = np.lexsort((-score, both))
+            first = order[np.append(True, both[order][1:] != both[order][:-1])] if len(order) else order
+            pick = np.unique(first % max(len(x), 1))
+            x, y = x[pick], y[pick]
+        return np.stack([np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y])])
 
     def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            if not t.num_rows:
-                continue
-            last = [t.column(c)[-1].as_py() for c in ("key", "band", "i", "j")]
-            same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "band", "i", "j"), last, strict=True)])
-            cut = int(np.argmax(same))
-            if cut:
-                yield from settle(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None and held.num_rows:
-            yield from settle(held)
+        some, held = [], 0
+        for t in _by_key(batches, (0, 1, 2, 3)):
+            some.append(settle(t))
+            held += some[-1].shape[1]
+            if held >= HELD:
+                pair = np.unique(np.concatenate(some, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+                some, held = [], 0
+        if held:
+            pair = np.unique(np.concatenate(some, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     return run
 
 
+def _linked_sets(docs: DataFrame, total: int, words: int, percent: int) -> DataFrame:
+    """What _sets gives of all documents, through buckets of shingles and groups of documents."""
+    buckets = max(BUCKETS, 1 << max(0, (total // BUCKET).bit_length()))
+    dealt = docs.select(KEY, "__text").mapInArrow(_deal(words, buckets), "bucket long, h binary, at binary, docs binary, sizes binary")
+    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets), "group long, docs binary, sizes binary, counts binary, h binary, level binary")
+    return found.repartition("group").sortWithinPartitions("group").mapInArrow(_sets(percent), f"{KEY} long, n long, shared binary, bits binary, prefix array<long>, ranks array<int>")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keep: list[str] = ()) -> DataFrame:
     """id, n_shingles, component_id, kept and the columns of `keep`; one row for each input row.
 
     A set holds the distinct runs of `words` lower-cased words; a text of fewer words is one
     run, an empty or null text has an empty set and links with nothing.  Sets link when
     100 * intersection >= percent * union.  Repeated and null ids: each row is a document of
-    its own, and component_id is the least id in the component.
+    its own, and component_id is the least id in the component.  An empty table has no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = keyed(docs, id_col, [c for c in dict.fromkeys([text_col, *keep]) if c != id_col], scratch)
-    docs = docs.select(KEY, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(F.lit(0).alias("__"), *keep).alias("__keep"))
-    frequent = _frequent(docs, "__text", words)
-    per = docs.select(KEY, "__text").mapInArrow(_per_document(percent, words, frequent), f"{KEY} long, n long, s1 long, s2 long, prefix array<long>, bits binary, small binary")
-    per = scratch.table(per, "documents")
+    docs = docs.select(KEY, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in keep]).alias("__keep"))
+    per = scratch.table(docs.select(KEY, "__text").mapInArrow(_sizes(words), f"{KEY} long, n long, s1 long, s2 long"), "sizes")
     classes = per.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(KEY).alias("rep"))
     rep_of = scratch.table(per.where("n > 0").select(KEY, "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select(KEY, "rep"), "classes")
+    total = per.agg(F.sum("n")).first()[0] or 0
+    every = scratch.table(_linked_sets(docs, total, words, percent), "linkable")
+    sets = scratch.table(every.join(rep_of.where(F.col(KEY) == F.col("rep")).select(KEY), KEY, "left_semi"), "sets")
+    scratch.drop(every)
 
-    # tile rows: (prefix shingle, representative) where two representatives share the shingle
-    rows = per.select(F.posexplode("prefix").alias("rank", "key"), F.col(KEY).alias("doc"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    rows = rows.join(shared, "key").join(rep_of.withColumnRenamed(KEY, "doc"), "doc").select("key", F.col("rep").alias("doc"), "rank").distinct()
-    shared = scratch.table(rows, "shared")
-    full, per = per, scratch.table(per.select(KEY, "n", "bits", "small", F.slice("prefix", 1, FIRST).alias("first")), "sets")
-    scratch.drop(full)
-    release(spark)
-    hubs = shared.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    rows = scratch.table(shared.join(hubs, "key"), "tiles")
-    scratch.drop(shared)
-    release(spark)
+    # tile rows: (shingle of the prefix, document, its place) where two documents share the shingle
+    rows = sets.select(F.col(KEY).alias("doc"), "n", F.explode(F.arrays_zip("prefix", "ranks")).alias("p")).select("doc", "n", F.col("p.prefix").alias("key"), F.col("p.ranks").alias("rank"))
+    hubs = rows.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    rows = scratch.table(rows.join(hubs, "key"), "tiles")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The linked ones of some pairs, by size, whole bitmaps and sets.  Few documents: their ids are broadcast to the scan of the texts; more: joined."""
-        both = pairs.join(per.select(F.col(KEY).alias("a"), F.col("n").alias("na"), F.col("bits").alias("ma")), "a").join(per.select(F.col(KEY).alias("b"), F.col("n").alias("nb"), F.col("bits").alias("mb")), "b")
-        both = both.where(percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")).select("a", "b", "na", "nb", "ma", "mb")
-        pairs = scratch.table(both.mapInArrow(_bounded(percent), "a long, b long"), "pairs")
-        needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias(KEY)).distinct(), "needed")
-        texts = docs.select(KEY, "__text").join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, KEY)
-        texts = scratch.table(texts, "texts")
-        release(spark)
-        both = pairs.join(texts.select(F.col(KEY).alias("a"), F.col("__text").alias("ta")), "a").join(texts.select(F.col(KEY).alias("b"), F.col("__text").alias("tb")), "b")
-        out = scratch.table(both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, percent), "a long, b long"), name)
-        scratch.drop(texts)
-        release(spark)
-        return out
+        """The linked ones of some pairs (a, b).  What is compared with one b is dealt to tasks by BLOCK, each with b's set once."""
+        held = sets.select(F.col(KEY).alias("doc"), "n", "shared")
+        many = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+        members = pairs.withColumnRenamed("b", "hub").join(many, "hub").select("hub", F.pmod(F.xxhash64("a"), F.col("nb")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("a").alias("doc"))
+        own = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("doc"))
+        both = members.unionByName(own).join(held, "doc").select("hub", "salt", "role", "doc", "n", "shared")
+        both = both.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+        return scratch.table(both.mapInArrow(_verify(percent), "a long, b long"), name)
 
     stars = rows.where("doc <> hub").groupBy("doc", "hub").agg(F.count("*").alias("c"))
     stars = stars.groupBy("doc").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-    links = verified(stars.select(F.col("doc").alias("a"), F.col("hub").alias("b")), "stars")
+    links = verified(scratch.table(stars.select(F.col("doc").alias("a"), F.col("hub").alias("b")), "hubs"), "stars")
     comp = components(links, scratch)
 
-    # what is left: tiles that hold several components
-    rows = rows.select("key", "doc", "rank").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "rank", F.coalesce("component", "doc").alias("comp"))
+    # what is left: tiles of a size band that hold several components, one of those with the same documents
+    def known(rows: DataFrame) -> DataFrame:
+        return rows.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+
+    whole = rows.select("key", "doc", "n", "rank")
+    rows = known(whole)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rows = rows.join(mixed, "key").join(per.select(F.col(KEY).alias("doc"), "n"), "doc")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    rows = rows.withColumn("top", band).select("*", F.explode(F.array(F.col("top"), F.col("top") - 1)).alias("band")).withColumn("own", (F.col("top") - F.col("band")).cast("int")).drop("top")
+    rows = rows.join(mixed, "key").withColumn("top", band).select("*", F.explode(F.array(F.col("top"), F.col("top") - 1)).alias("band")).withColumn("own", (F.col("top") - F.col("band")).cast("int")).drop("top")
     rows = scratch.table(rows, "banded")
-    sizes = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count_if(F.col("own") == 0).alias("mine"), F.count("*").alias("all"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    rows = rows.join(sizes.where("mine > 0 and all > 1 and x <> y").select("key", "band", "nb"), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
+    tiles = rows.groupBy("key", "band").agg(F.count("*").alias("c"), F.count_if(F.col("own") == 0).alias("mine"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.bit_xor(F.xxhash64("doc")).alias("h1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("h2"))
+    tiles = tiles.where("mine > 0 and c > 1 and x <> y").groupBy("band", "c", "h1", "h2").agg(F.min("key").alias("key"))
+    tiles = tiles.select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    rows = rows.drop("comp").join(tiles, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
     rows = scratch.table(rows, "meeting")
-    release(spark)
-    rows = rows.join(per.select(F.col(KEY).alias("doc"), F.col("small").alias("bits"), "first"), "doc")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    rows = rows.select("*", F.explode(tiles).alias("t")).select("key", "band", "t.i", "t.j", "doc", "n", "comp", "own", "block", "bits", "rank", "first")
-    rows = rows.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-    links = links.unionByName(verified(rows.mapInArrow(_tile_pairs(percent), "a long, b long").distinct(), "links"))
-    comp = components(links, scratch)
+    maps = sets.select(F.col(KEY).alias("doc"), (F.length("shared") / 8).cast("long").alias("k"), "bits")
+
+    def met(best: bool, name: str) -> DataFrame:
+        own = known(rows)
+        mixed = own.groupBy("key", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "band")
+        own = own.join(mixed, ["key", "band"]).join(maps, "doc")
+        parts = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+        own = own.select("*", F.explode(parts).alias("t")).select("key", "band", "t.i", "t.j", "doc", "n", "k", "comp", "own", "block", "rank", "bits")
+        own = own.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+        return scratch.table(own.mapInArrow(_tile_pairs(percent, best), "a long, b long").distinct(), name)
+
+    for best, name in ((True, "best"), (False, "rest")):
+        links = links.unionByName(verified(met(best, name), f"{name}-links"))
+        comp = components(links, scratch)
 
     out = per.select(KEY, "n").join(rep_of, KEY, "left").join(comp, F.col("rep") == F.col("node"), "left").select(KEY, "n", F.coalesce("component", "rep", KEY).alias("__c"))
     least = docs.select(KEY, "__id").join(out, KEY).groupBy("__c").agg(F.min("__id").alias("component_id"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import KEY, Scratch, components, forest, keyed, release
+from memstore.llm.common import KEY, Scratch, components, forest, keyed
 
 THRESHOLD = 0.93
 #: Rows of one side of a tile.
@@ -178,7 +178,6 @@ def near_duplicates(
         return pd.DataFrame({"rep": name[some], "links": links[some], "root": root[some]})
 
     found = scratch.table(tiles.groupBy(*cell, "__i", "__j").applyInPandas(compare, "rep long, links long, root long"), "links")
-    release(spark)
     joined = components(found.where("rep <> root"), scratch, "rep", "root")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     out = rep_of.join(links, rep_of["__rep"] == links["rep"], "left").join(joined, rep_of["__rep"] == joined["node"], "left")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import BYTE_CODE, KEY, Scratch, keyed, mix64, prefix_hash, release, slices, span_hash, utf8
+from memstore.llm.common import BYTE_CODE, KEY, Scratch, keyed, mix64, prefix_hash, slices, span_hash, utf8
 
 LENGTH = 200
 #: Bytes of the strings whose least hash names the bucket.
@@ -229,7 +229,6 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
     often = blocks.groupBy("fp").agg(F.count("*").alias("c"), ((F.min("bk") == F.max("bk")) & (F.count("*") > 1)).alias("same"), F.max("twice").alias("t")).where("c > 1 or t").select("fp", "same")
     found = scratch.table(blocks.join(often, "fp"), "repeated")
     scratch.drop(blocks)
-    release(spark)
     mixed = found.where("not same")
     distinct = mixed.groupBy("fp", "bk").agg(F.count("*").alias("c"), F.min(F.struct(KEY, "lo", "n")).alias("r"))
     distinct = scratch.table(distinct.select("fp", "bk", "c", f"r.{KEY}", "r.lo", "r.n"), "distinct")
@@ -263,7 +262,6 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
 
     texts = docs.select(KEY, text_col).join(wanted, KEY).select(KEY, text_col, "w")
     texts = scratch.table(texts.mapInArrow(cut, f"{KEY} long, lo int, n int, fp long, edge boolean, bytes binary, bk long"), "texts")
-    release(spark)
     span = [KEY, F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("e")]
     # split buckets: the same steps again, on their parts
     parts = texts.where("bk is not null")

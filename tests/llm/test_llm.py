@@ -126,14 +126,18 @@ def test_overlap_bound():
     for n, m, c in ((50, 70, 40), (500, 400, 399), (3000, 100, 5), (1, 1, 1)):
         s = np.unique(rng.integers(0, 2**63, n + m).astype(np.uint64))
         a, b = s[:n], s[n - c : n - c + m]
-        bound = jaccard.overlap_bound(np.array([n]), np.array([len(b)]), [jaccard.bitmap(a)], [jaccard.bitmap(b)])[0]
-        assert bound >= len(np.intersect1d(a, b))
+        maps = [np.frombuffer(jaccard.bitmap(x), np.uint64)[None] for x in (a, b)]
+        width = min(x.shape[1] for x in maps)
+        assert jaccard.overlap_bound(n, len(b), *(jaccard.folded(x, width) for x in maps))[0] >= len(np.intersect1d(a, b))
 
 
-def test_jaccard_tiles(spark, monkeypatch):
-    """Blocks of few documents, and documents that share a passage without being near."""
+@pytest.mark.parametrize("often", [1, 4, 1000])
+def test_jaccard_tiles(spark, monkeypatch, often):
+    """Small blocks and chunks, shingles frequent in a chunk, and documents that share a passage without being near."""
     monkeypatch.setattr(jaccard, "BLOCK", 3)
-    monkeypatch.setattr(jaccard, "PAIRS", 4)
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    monkeypatch.setattr(jaccard, "CHUNK", 2000)
+    monkeypatch.setattr(jaccard, "HELD", 100)
     shared = prose(60)
     data = [(i, f"{shared} {prose(22)}", None, None, None, None, None, None) for i in range(25)]
     data += [(100 + i, " ".join(shared.split(" ")[: 50 + 2 * i]), None, None, None, None, None, None) for i in range(5)]
