@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from memstore.llm.common import ASCII_SPACE
 
@@ -241,7 +242,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     kind = docs.schema[id_col].dataType.simpleString()
     full = keep == "full"
-    schema = f"{id_col} {kind}, " + ("ids array<long>, decoded string" if full else "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{id_col}` {kind}, " + ("ids array<long>, decoded string" if full else "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def run(batches):
         tok = tokenizer(path)
@@ -259,4 +260,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     ]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *cols], names=[id_col, *(["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)

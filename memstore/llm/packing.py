@@ -10,6 +10,7 @@ front of a queue of increasing g whose positions lie within one window of p.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from memstore.llm.bpe import text_slices, tokenizer
 
@@ -25,46 +27,79 @@ WINDOW = 2048
 END_ID = 1
 #: Costs of a cut, in padded tokens.
 SENTENCE_COST, TRUNCATION_COST = 1, 8
+#: Tokens that may wait for their cuts; beyond, the best cuts so far hold.
+HORIZON = 1 << 24
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def best_cuts(places: list[int], costs: list[int], window: int = WINDOW, truncation: int = TRUNCATION_COST) -> tuple[list[int], int]:
-    """Cuts of least cost from 0 up to the best last one, and that one's position.
-
-    places: increasing positions > 0 at which a window may end, costs: what a cut there
-    costs.  What follows the last cut is shorter than a window and is left to the caller.
-    A truncated cut is tried where the best open start of a window reaches its full length.
-    """
-    at, cost, back = [0], [0], [-1]
-    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # g, position, node
-    for place, extra in zip(places, costs, strict=True):
-        while queue[0][1] + window < place:
-            g, p, i = queue.popleft()
-            node, p2 = len(at), p + window
-            c = cost[i] + truncation
-            at.append(p2)
+class Cuts:
+    """The dynamic program over a growing stream: cuts of least cost up to each place.
+
+    What follows the last cut is shorter than a window and is left to the caller.  A
+    truncated cut is tried where the best open start of a window reaches its full length."""
+
+    def __init__(self, window: int = WINDOW, truncation: int = TRUNCATION_COST):
+        self.window, self.truncation = window, truncation
+        self.at, self.cost, self.back = [0], [0], [-1]
+        self.queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # g, position, node
+
+    def add(self, places: list[int], costs: list[int]) -> None:
+        """places: increasing positions, after all those before, at which a window may end; costs: what a cut there costs."""
+        at, cost, back, queue, window, truncation = self.at, self.cost, self.back, self.queue, self.window, self.truncation
+        for place, extra in zip(places, costs, strict=True):
+            while queue[0][1] + window < place:
+                g, p, i = queue.popleft()
+                node, p2 = len(at), p + window
+                c = cost[i] + truncation
+                at.append(p2)
+                cost.append(c)
+                back.append(i)
+                while queue and queue[-1][0] >= c + p2:
+                    queue.pop()
+                queue.append((c + p2, p2, node))
+            g, p, i = queue[0]
+            c = g + window - place + extra
+            node = len(at)
+            at.append(place)
             cost.append(c)
             back.append(i)
-            while queue and queue[-1][0] >= c + p2:
+            g = c + place
+            while queue and queue[-1][0] >= g:
                 queue.pop()
-            queue.append((c + p2, p2, node))
-        g, p, i = queue[0]
-        c = g + window - place + extra
-        node = len(at)
-        at.append(place)
-        cost.append(c)
-        back.append(i)
-        g = c + place
-        while queue and queue[-1][0] >= g:
-            queue.pop()
-        queue.append((g, place, node))
-    i = queue[0][2]
-    last, cuts = at[i], []
-    while i > 0:
-        cuts.append(at[i])
-        i = back[i]
-    return cuts[::-1], last
+            queue.append((g, place, node))
+
+    def _path(self, node: int) -> list[int]:
+        cuts = []
+        while self.back[node] >= 0:
+            cuts.append(self.at[node])
+            node = self.back[node]
+        return cuts[::-1]
+
+    def _forget(self, root: int) -> list[int]:
+        cuts = self._path(root)
+        self.at, self.cost = self.at[root:], self.cost[root:]
+        self.back = [-1, *(max(-1, i - root) for i in self.back[root + 1 :])]
+        self.queue = deque((g, p, i - root) for g, p, i in self.queue)
+        return cuts
+
+    def settled(self) -> list[int]:
+        """The cuts that all open starts share, which no later place can change; they are forgotten here."""
+        heap = [-i for _, _, i in self.queue]
+        heapq.heapify(heap)
+        seen = set(heap)
+        while len(heap) > 1:
+            up = -self.back[-heapq.heappop(heap)]
+            if up not in seen:
+                seen.add(up)
+                heapq.heappush(heap, up)
+        return self._forget(-heap[0])
+
+    def best(self) -> list[int]:
+        """The cuts up to the best last one; what was open otherwise is given up."""
+        g, p, i = self.queue[0]
+        self.queue = deque([(g, p, i)])
+        return self._forget(i)
 
 
 def tail_cuts(n: int, truncation: int = TRUNCATION_COST) -> list[int]:
@@ -77,15 +112,15 @@ def tail_cuts(n: int, truncation: int = TRUNCATION_COST) -> list[int]:
 
 
 class Stream:
-    """The open end of a partition's token stream."""
+    """The open end of a partition's token stream.  Its cuts don't depend on how documents are grouped into feeds."""
 
     def __init__(self, base: int):
-        self.next, self.ids = base, np.zeros(0, np.uint32)
+        self.next, self.ids, self.cuts, self.gone = base, np.zeros(0, np.uint32), Cuts(), 0  # gone: tokens before self.ids
         self.docs: list[tuple] = []  # (id, tokens of the document, its tokens before this stream's first, tokens here)
 
     def feed(self, names: list, ids: list[bytes], sentence_end: np.ndarray, last: bool = False) -> list[tuple]:
         """Adds documents; returns the pieces of all sequences that are settled."""
-        parts = [self.ids]
+        parts, old = [self.ids], len(self.ids)
         for name, raw in zip(names, ids, strict=True):
             own = np.append(np.frombuffer(raw, "<u4"), np.uint32(END_ID)).astype("<u4")
             parts.append(own)
@@ -94,12 +129,17 @@ class Stream:
         ends = np.cumsum([d[3] for d in self.docs])
         if not len(stream):
             return []
-        cuttable = sentence_end[stream]
-        cuttable[ends - 1] = True
-        places = np.flatnonzero(cuttable) + 1
-        price = np.full(len(places), SENTENCE_COST)
-        price[np.searchsorted(places, ends)] = 0
-        cuts, upto = best_cuts(places.tolist(), price.tolist())
+        if len(stream) > old:
+            cuttable = sentence_end[stream[old:]]
+            fresh = ends[ends > old] - old
+            cuttable[fresh - 1] = True
+            places = np.flatnonzero(cuttable) + 1
+            price = np.full(len(places), SENTENCE_COST)
+            price[np.searchsorted(places, fresh)] = 0
+            self.cuts.add((places + (old + self.gone)).tolist(), price.tolist())
+        cuts = self.cuts.best() if last or len(stream) > HORIZON else self.cuts.settled()
+        cuts = [c - self.gone for c in cuts]
+        upto = cuts[-1] if cuts else 0
         if last:
             while len(stream) - upto > WINDOW:
                 upto += WINDOW
@@ -128,7 +168,7 @@ class Stream:
             name, total, before, here = kept[0]
             gone = upto - int(starts[first])
             kept[0] = (name, total, before + gone, here - gone)
-        self.docs, self.ids = kept, stream[upto:].copy()
+        self.docs, self.ids, self.gone = kept, stream[upto:].copy(), self.gone + upto
         return out
 
 
@@ -137,9 +177,11 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     A document is the ids of its text (null: none) and END_ID.  Each partition of the input
     packs its own documents in their order, so nothing is shuffled and a lost task, run
-    again over the same rows, gives the same sequences; sequence_id counts from the
-    partition's number times 2**40.  Repeated rows and null ids are documents like others.
-    An empty table has no pieces.
+    again over the same rows, gives the same sequences, whatever the size of Arrow batches;
+    sequence_id counts from the partition's number times 2**40.  Repeated rows and null ids
+    are documents like others, and a very long one spans many sequences.  An empty table has
+    no pieces.  A cut at a sentence end costs one token of padding, so a document that would
+    fit one sequence is often cut there.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -164,4 +206,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         if id_type is not None and (found := stream.feed([], [], ends, last=True)):
             yield rows(found)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {SCHEMA}")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")

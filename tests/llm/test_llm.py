@@ -205,6 +205,25 @@ def test_packing(spark, rows):
     assert packing.pack(empty(spark), vocabulary()).count() == 0 and packing.pack(odd(spark), vocabulary()).count() >= 5
 
 
+@pytest.mark.parametrize("size", [10, 100])
+def test_packing_batches(spark, rows, size):
+    """The same pieces for any size of Arrow batches, and little padding."""
+    data = [(i, prose(R.randint(1, 900)) + ". " + prose(R.randint(1, 400))) for i in range(300)] + [(300, prose(30_000))]
+    df = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    want = sorted(tuple(r) for r in packing.pack(df, vocabulary()).collect())
+    spark.conf.set(key, size)
+    try:
+        assert sorted(tuple(r) for r in packing.pack(df, vocabulary()).collect()) == want
+    finally:
+        spark.conf.unset(key)
+    length = Counter()
+    for r in want:
+        length[r[5]] += r[2]
+    padding = sum(packing.WINDOW - n for n in length.values() if n & (n - 1))
+    assert padding < 0.005 * sum(length.values())
+
+
 def brute_cuts(places, costs, window, truncation):
     """Least cost of each reachable last cut, over every position."""
     price = dict(zip(places, costs, strict=True))
@@ -223,7 +242,14 @@ def test_best_cuts():
     for _ in range(40):
         places = sorted(R.sample(range(1, 200), R.randint(5, 60)))
         costs = [R.choice([0, 1]) for _ in places]
-        cuts, last = packing.best_cuts(places, costs, 32, 8)
+        whole, parts, got = packing.Cuts(32, 8), packing.Cuts(32, 8), []
+        whole.add(places, costs)
+        for i in range(0, len(places), 7):
+            parts.add(places[i : i + 7], costs[i : i + 7])
+            got += parts.settled()
+        cuts = whole.best()
+        assert got + parts.best() == cuts
+        last = cuts[-1] if cuts else 0
         cost = brute_cuts(places, costs, 32, 8)
         total, at = 0, 0
         for c in cuts:
