@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from memstore.llm.common import ASCII_SPACE
+from memstore.llm.common import ASCII_SPACE, numbered
 
 #: Distinct chunks that a worker remembers; when full, it forgets all and starts anew.
 CACHE_CHUNKS = 500_000
@@ -260,4 +259,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     ]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *cols], names=[id_col, *(["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return docs.select(*numbered([id_col, text_col])).mapInArrow(run, schema)

@@ -77,6 +77,26 @@ class Scratch:
         self.live.pop(name, None)
 
 
+def quoted(names) -> list:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col(f"`{n}`") for n in names]
+
+
+def numbered(names) -> list:
+    """Columns by name, under names that mapInArrow can look up whatever the first ones hold."""
+    return [F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]
+
+
+def kept_columns(keep, made) -> list[str]:
+    """The names of `keep`, each once, without those that the operator makes itself: its own column stays."""
+    return [c for c in dict.fromkeys(keep) if c not in made]
+
+
+def fields(schema: T.StructType, names) -> list[str]:
+    """DDL of some columns."""
+    return [f"`{n}` {schema[n].dataType.simpleString()}" for n in names]
+
+
 def keyed(df: DataFrame, id_col: str, columns: list[str], scratch: Scratch) -> DataFrame:
     """`columns` and id_col plus KEY, a long that is unique per row and never null.
 
@@ -84,11 +104,12 @@ def keyed(df: DataFrame, id_col: str, columns: list[str], scratch: Scratch) -> D
     aggregation over the ids alone).  Else rows are numbered, and the numbered rows are
     written out so that a recomputed task can't number them differently.
     """
-    df = df.select(id_col, *columns)
+    df = df.select(*quoted([id_col, *columns]))
     whole = isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType))
-    odd = df.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1))
+    own = F.col(f"`{id_col}`")
+    odd = df.groupBy(own.alias("id")).agg(F.count("*").alias("n")).where(F.col("id").isNull() | (F.col("n") > 1))
     if whole and not odd.limit(1).count():
-        return df.withColumn(KEY, F.col(id_col).cast("long"))
+        return df.withColumn(KEY, own.cast("long"))
     return scratch.table(df.withColumn(KEY, F.monotonically_increasing_id()), "keyed", pinned=True)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import KEY, Scratch, components, keyed, mix64, prefix_hash, slices, span_hash, utf8
+from memstore.llm.common import KEY, Scratch, components, kept_columns, keyed, mix64, prefix_hash, quoted, slices, span_hash, utf8
 
 WORDS, PERCENT = 5, 75
 #: Bytes of text in a chunk; documents of a chunk above which a shingle counts as frequent everywhere.
@@ -381,11 +381,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     run, an empty or null text has an empty set and links with nothing.  Sets link when
     100 * intersection >= percent * union.  Repeated and null ids: each row is a document of
     its own, and component_id is the least id in the component.  An empty table has no rows.
+    Columns of `keep` that are named like a result are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
+    keep = kept_columns(keep, [id_col, "n_shingles", "component_id", "kept"])
     docs = keyed(docs, id_col, [c for c in dict.fromkeys([text_col, *keep]) if c != id_col], scratch)
-    docs = docs.select(KEY, F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in keep]).alias("__keep"))
+    docs = docs.select(KEY, F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.struct(F.lit(0).alias("__"), *quoted(keep)).alias("__keep"))
     per = scratch.table(docs.select(KEY, "__text").mapInArrow(_sizes(words), f"{KEY} long, n long, s1 long, s2 long"), "sizes")
     classes = per.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(KEY).alias("rep"))
     rep_of = scratch.table(per.where("n > 0").select(KEY, "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select(KEY, "rep"), "classes")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memstore.llm.common import fields, kept_columns, numbered
+
 #: Ranks that a profile and a document keep.
 TOP = 400
 #: Letter codes: 0 a word edge, 1-26 a-z, then other letters by a rule of their code point.
@@ -101,7 +103,8 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
                         own += np.bincount(found, minlength=SPACE)
         yield from flush()
 
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string"), text_col)
+    lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    rows = docs.where(lang.isNotNull() & text.isNotNull()).select(lang.cast("string").alias("lang"), text.alias("text"))
     total = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = total.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= TOP)
     out: dict[str, list[int]] = {}
@@ -114,8 +117,11 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
     """id, the columns of `keep`, lang_pred, score (1 - distance / greatest distance).
 
     A null text or one without letters gets `und` and 0, as does every text if no language
-    was learned.  Equal distances: the first language by name.  Rows are independent.
+    was learned.  Equal distances: the first language by name.  Rows are independent, so
+    repeated rows and null ids come back as they are.  Columns of `keep` that are named like
+    a result are left out.
     """
+    keep = kept_columns(keep, [id_col, "lang_pred", "score"])
     langs = sorted(profiles)
     ranks = np.full((len(langs), SPACE), TOP, np.int16)
     for i, lang in enumerate(langs):
@@ -138,6 +144,5 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
                 [batch.column(0), *rest, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_col, *keep, "lang_pred", "score"]
             )
 
-    used = docs.select(id_col, text_col, *keep)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema if f.name != text_col]
-    return used.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    used = docs.select(*numbered([id_col, text_col, *keep]))
+    return used.mapInArrow(run, ", ".join([*fields(docs.schema, [id_col, *keep]), "lang_pred string", "score double"]))

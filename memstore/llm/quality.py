@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import prefix_hash, slices, span_hash, utf8
+from memstore.llm.common import fields, kept_columns, numbered, prefix_hash, slices, span_hash, utf8
 
 #: Bounds of the learning sample, in labelled rows, and of its preference pairs.
 SAMPLE_ROWS, PAIRS = 20_000, 60_000
@@ -103,11 +103,14 @@ def featured(batches, columns: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, label, text) of at most `rows` labelled documents: those of least id hash.
+    """(id, __y, text) of at most `rows` labelled documents: those of least id hash, each id once.
 
-    Only the sample of ids and labels is broadcast, `rows` rows at most."""
-    some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("double").alias("__y")).orderBy(F.xxhash64(id_col), "__y").limit(rows)
-    return docs.select(id_col, text_col).join(F.broadcast(some), id_col).select(id_col, "__y", text_col)
+    Of an id that repeats, the least label and the least text count, so no input makes the
+    sample larger.  Only the sample of ids and labels is broadcast, `rows` rows at most."""
+    own, label = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
+    some = labels.where(label.isNotNull() & own.isNotNull()).groupBy(own.alias("__id")).agg(F.min(label.cast("double")).alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    held = docs.select(own.alias("__id"), F.col(f"`{text_col}`").alias("__text")).join(F.broadcast(some), "__id")
+    return held.groupBy("__id", "__y").agg(F.min("__text").alias("__text")).select(F.col("__id").alias(id_col), "__y", F.col("__text").alias(text_col))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> dict | None:
@@ -117,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         for part, x in featured(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = labelled_sample(docs, labels, label_col, id_col, text_col).select("__y", text_col).mapInArrow(run, "y double, x array<double>").collect()
+    got = labelled_sample(docs, labels, label_col, id_col, text_col).select("__y", F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "y double, x array<double>").collect()
     got.sort(key=lambda r: (r["y"], r["x"]))
     y = np.array([r["y"] for r in got])
     if not (y == 1).any() or not (y == 0).any():
@@ -145,8 +148,10 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     """id, the columns of `keep`, score (0 to 1), predicted (1 if score >= THRESHOLD).
 
     A null text scores as an empty one.  Without a model every score is 0.5.  Rows are
-    independent, so repeated rows and null ids come back as they are.
+    independent, so repeated rows and null ids come back as they are.  Columns of `keep` that
+    are named like a result are left out.
     """
+    keep = kept_columns(keep, [id_col, "score", "predicted"])
 
     def run(batches):
         for part, x in featured(batches, 1 + len(keep)):
@@ -156,6 +161,5 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
                 s = 1 / (1 + np.exp(-np.clip((x - model["mean"]) / model["scale"] @ model["w"] + model["shift"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*part.columns[: 1 + len(keep)], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[id_col, *keep, "score", "predicted"])
 
-    used = docs.select(id_col, *keep, text_col)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema[:-1]]
-    return used.mapInArrow(run, ", ".join([*kinds, "score double", "predicted int"]))
+    used = docs.select(*numbered([id_col, *keep, text_col]))
+    return used.mapInArrow(run, ", ".join([*fields(docs.schema, [id_col, *keep]), "score double", "predicted int"]))

@@ -13,6 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memstore.llm.common import kept_columns, quoted
+from memstore.llm.quality import labelled_sample
+
 #: White space of the word contract, as a Java character class.
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -24,6 +27,9 @@ SAMPLE_ROWS = 8_000
 MAX_CONDITIONS, MIN_COVER, MIN_PRECISION, MAX_RULES = 3, 8, 0.9, 12
 STATS = ("words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "distinct_share")
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RESULTS = (*COUNTS, "base_failed", *STATS, "rule", "kept")
+
 Rule = list[tuple[str, str, float]]
 
 
@@ -47,10 +53,14 @@ def _repeated(step: DataFrame) -> DataFrame:
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The columns of docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed and STATS.  A null text counts as an empty one: all counts are 0.  One
-    projection over another, no shuffle: each row holds its own words, and no more.
+    base_failed and STATS.  A null text counts as an empty one: all counts are 0.  A column of
+    docs that is named like a result is left out.  Rows are independent, so repeated rows and
+    null ids come back as they are.  One projection over another, no shuffle: each row holds
+    its own words, and no more.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = kept_columns(docs.columns, RESULTS)
+    docs = docs.select(F.struct(F.lit(0).alias("__"), *quoted(own)).alias("__in"), F.col(f"`{text_col}`").alias("__text"))
+    text = F.coalesce(F.col("__text"), F.lit(""))
     solid = F.translate("__t", _BLANKS, "")
     inner = F.btrim(F.col("__t"), F.lit(_BLANKS))
     step = docs.withColumn("__t", text).withColumn("__w", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, _SPACE)))
@@ -75,7 +85,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }
     for name, c in stats.items():
         step = step.withColumn(name, F.round(c.cast("double"), 6))
-    return step.drop("__t", "__w", "__l", "__h")
+    return step.select(*[F.col(f"__in.`{c}`").alias(c) for c in own], *COUNTS, "base_failed", *STATS)
 
 
 def learn(rows: list[tuple[tuple[float, ...], int]]) -> list[Rule]:
@@ -146,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Rules from at most SAMPLE_ROWS labelled documents, those of least id hash; their statistics come to the driver.
     What the base rule rejects isn't learned from.
     Without labels of both kinds there are no rules."""
-    some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("__y")).orderBy(F.xxhash64(id_col), "__y").limit(SAMPLE_ROWS)
-    rows = statistics(docs.select(id_col, text_col).join(F.broadcast(some), id_col), text_col).select(id_col, "__y", "base_failed", *STATS).collect()
+    sample = labelled_sample(docs, labels, label_col, id_col, text_col, SAMPLE_ROWS).select(F.col(f"`{id_col}`").alias("__id"), "__y", F.col(f"`{text_col}`").alias("__text"))
+    rows = statistics(sample, "__text").select("__id", F.col("__y").cast("int"), "base_failed", *STATS).collect()
     rows.sort(key=lambda r: (hash((r[0] * 2654435761) % 2**32) if isinstance(r[0], int) else 0, str(r[0]), tuple(r)[1:]))
     return learn([(tuple(r)[3:], r[1]) for r in rows if not r["base_failed"]])
 

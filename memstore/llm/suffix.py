@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import BYTE_CODE, KEY, Scratch, keyed, mix64, prefix_hash, slices, span_hash, utf8
+from memstore.llm.common import BYTE_CODE, KEY, Scratch, fields, kept_columns, keyed, mix64, numbered, prefix_hash, slices, span_hash, utf8
 
 LENGTH = 200
 #: Bytes of the strings whose least hash names the bucket.
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
                 doc, lo, n, fp, bk, twice = blocks_of(data, off, length)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(bk.view(np.int64)), pa.array(twice)], names=[KEY, "lo", "n", "fp", "bk", "twice"])
 
-    blocks = scratch.table(docs.select(KEY, text_col).mapInArrow(find, f"{KEY} long, lo int, n int, fp long, bk long, twice boolean"), "blocks")
+    blocks = scratch.table(docs.select(KEY, F.col(f"`{text_col}`").alias("__text")).mapInArrow(find, f"{KEY} long, lo int, n int, fp long, bk long, twice boolean"), "blocks")
     often = blocks.groupBy("fp").agg(F.count("*").alias("c"), ((F.min("bk") == F.max("bk")) & (F.count("*") > 1)).alias("same"), F.max("twice").alias("t")).where("c > 1 or t").select("fp", "same")
     found = scratch.table(blocks.join(often, "fp"), "repeated")
     scratch.drop(blocks)
@@ -260,7 +260,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[KEY, "lo", "n", "fp", "edge", "bytes", "bk"])
 
-    texts = docs.select(KEY, text_col).join(wanted, KEY).select(KEY, text_col, "w")
+    texts = docs.select(KEY, F.col(f"`{text_col}`").alias("__text")).join(wanted, KEY).select(KEY, "__text", "w")
     texts = scratch.table(texts.mapInArrow(cut, f"{KEY} long, lo int, n int, fp long, edge boolean, bytes binary, bk long"), "texts")
     span = [KEY, F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("e")]
     # split buckets: the same steps again, on their parts
@@ -321,10 +321,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes (null: empty), matches lie within one text each, and all are
     judged on the input.  `kept` is the remaining bytes as text, without the halves of a
-    character that was cut.  Repeated and null ids: each row is a document of its own.
+    character that was cut.  Columns of `keep` that are named like a result are left out.
+    An empty table has no rows.  Repeated and null ids: each row is a document of its own.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     schema = docs.schema
+    keep = kept_columns(keep, [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
     rows = keyed(docs, id_col, [c for c in [text_col, *keep] if c != id_col], scratch)
     spans = repeated_spans(rows, scratch, text_col, length).groupBy(KEY).agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
 
@@ -344,6 +346,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names=[id_col, *keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
 
-    kinds = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in [id_col, *keep])
-    joined = rows.join(spans, KEY, "left").select(id_col, text_col, "__spans", *keep)
+    kinds = ", ".join(fields(schema, [id_col, *keep]))
+    joined = rows.join(spans, KEY, "left").select(*numbered([id_col, text_col, "__spans", *keep]))
     return joined.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)

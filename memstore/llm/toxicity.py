@@ -3,24 +3,33 @@
 Method: a classifier chain.  Categories are predicted one after the other by logistic models
 over term features; each model also gets the probabilities of the categories before it, and
 learns from out-of-fold ones, so that it meets in learning what it meets in use.
+
+`labels` has one toxicity column, so the categories before the last are learned from it: the
+terms that speak for toxicity are gathered into GROUPS groups by the documents that hold them,
+and a document belongs to a category where it is toxic and holds a term of its group.  The last
+link is `toxic` itself; it sees the other links' probabilities beside the terms.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memstore.llm.common import Scratch, fields, kept_columns, numbered
 from memstore.llm.quality import labelled_sample
 
 #: Bound of the learning sample in labelled rows, terms of the model, folds.
 SAMPLE_ROWS, TERMS, FOLDS = 20_000, 400, 5
 #: Least sample documents that hold a term, least log-likelihood ratio of a term.
 MIN_DOCS, LEAST_RATIO = 4, 15.0
-CATEGORIES = ("toxic", "repeated")
+#: Categories before the last link, rounds in which their groups of terms are formed.
+GROUPS, ROUNDS = 3, 10
+PROBABILITIES = (*(f"p_group_{i + 1}" for i in range(GROUPS)), "p_toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,7 +58,7 @@ def _terms(sample: DataFrame, text_col: str) -> list[str]:
     n1, n0 = totals.get(1.0, 0), totals.get(0.0, 0)
     if not n1 or not n0:
         return []
-    found = sample.select("__y", text_col).mapInArrow(run, "y double, w string").groupBy("w").agg(F.sum(F.col("y")).alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    found = sample.select("__y", F.col(f"`{text_col}`")).mapInArrow(run, "y double, w string").groupBy("w").agg(F.sum(F.col("y")).alias("a"), F.sum(1 - F.col("y")).alias("b"))
     a, b, share = F.col("a") + 0.5, F.col("b") + 0.5, n1 / (n1 + n0)
     ratio = 2 * (a * F.log(a / ((a + b) * share)) + b * F.log(b / ((a + b) * (1 - share))))
     found = found.where((F.col("a") + F.col("b") >= MIN_DOCS) & (a * n0 > b * n1)).withColumn("s", F.round(ratio, 6))
@@ -91,12 +100,31 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
-    """One model for each column of labels; model k sees x and the out-of-fold probabilities of the k before it."""
-    models, fold = [], np.arange(len(x)) % folds
+def groups_of(x: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """A group for each column of x (documents x terms): spherical k-means over the columns.
+    The first centre is the first column, each further one the column least like those before."""
+    v = x.T.astype(np.float64)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    pick = [0]
+    while len(pick) < min(groups, len(v)):
+        pick.append(int((v @ v[pick].T).max(axis=1).argmin()))
+    centre = v[pick]
+    for _ in range(ROUNDS):
+        home = (v @ centre.T).argmax(axis=1)
+        centre = np.array([v[home == g].sum(axis=0) if (home == g).any() else centre[g] for g in range(len(centre))])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+    return (v @ centre.T).argmax(axis=1)
+
+
+def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
+    """One model for each column of labels; model k sees x and the probabilities of the k before
+    it, for each row those of models that were learned without the row's fold."""
+    models = []
     for k in range(labels.shape[1]):
         models.append(logistic(x, labels[:, k]))
-        out = np.zeros(len(x))
+        if k + 1 == labels.shape[1]:
+            break
+        out = np.full(len(x), labels[:, k].mean())
         for f in range(folds):
             own = fold == f
             if own.any() and (~own).any():
@@ -106,16 +134,19 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> list[np.
 
 
 def chain(x: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
+    """The probability of each link, one after the other."""
     for w in models:
         x = np.column_stack([x, probability(x, w)])
     return x[:, -len(models) :]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """The chain toxic -> repeated (toxic with two or more of the terms that speak for it), or
-    None where the labels don't hold both 0 and 1.  At most SAMPLE_ROWS labelled rows."""
-    sample = labelled_sample(docs, labels, label_col, id_col, text_col, SAMPLE_ROWS)
-    words = _terms(sample, text_col)
+    """The chain of GROUPS categories and toxic, or None where the labels don't hold both 0 and
+    1 or no term speaks for 1.  At most SAMPLE_ROWS labelled rows, written out once.  Folds go
+    by a hash of the terms, so equal documents share one."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.table(labelled_sample(docs, labels, label_col, id_col, text_col, SAMPLE_ROWS).select("__y", F.col(f"`{text_col}`").alias("__text")), "sample")
+    words = _terms(sample, "__text")
     if not words:
         return None
     terms = {w: i for i, w in enumerate(words)}
@@ -126,26 +157,35 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int64())], names=["y", "held", "n"])
 
     # as numbers of terms, few a row: the dense matrix is made once, on the driver
-    got = [(tuple(r["held"]), r["n"], r["y"]) for r in sample.select("__y", text_col).mapInArrow(run, "y double, held array<int>, n long").collect()]
-    got.sort(key=lambda r: (hash(r), r))
-    y, x = np.array([r[2] for r in got]), matrix([(list(r[0]), r[1]) for r in got], len(terms))
-    speak = logistic(x, y)[: len(terms)] > 1
-    return {"terms": terms, "models": fit_chain(x, np.column_stack([y, y * (x[:, : len(terms)][:, speak].sum(axis=1) >= 2)]))}
+    got = sorted((tuple(r["held"]), r["n"], r["y"]) for r in sample.select("__y", "__text").mapInArrow(run, "y double, held array<int>, n long").collect())
+    scratch.drop(sample)
+    return learned(got, terms)
+
+
+def learned(rows: list[tuple[tuple[int, ...], int, float]], terms: dict[str, int]) -> dict:
+    """The model of rows (terms by number, words, label)."""
+    y, x = np.array([r[2] for r in rows]), matrix([(list(r[0]), r[1]) for r in rows], len(terms))
+    fold = np.array([zlib.crc32(repr(r[:2]).encode()) % FOLDS for r in rows])
+    held = x[:, : len(terms)]
+    group = groups_of(held[y == 1])
+    categories = [y * (held[:, group == g].sum(axis=1) > 0) for g in range(GROUPS)]
+    return {"terms": terms, "groups": group, "models": fit_chain(x, np.column_stack([*categories, y]), fold)}
 
 
 def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = (), threshold: float = 0.5) -> DataFrame:
-    """id, the columns of `keep`, p_toxic, p_repeated (0 to 1), toxic (1 if p_toxic >= threshold).
+    """id, the columns of `keep`, PROBABILITIES (0 to 1), toxic (1 if p_toxic >= threshold).
 
     A null text counts as an empty one.  Without a model every probability is 0.  Rows are
-    independent, so repeated rows and null ids come back as they are.
+    independent, so repeated rows and null ids come back as they are.  Columns of `keep` that
+    are named like a result are left out.
     """
+    keep = kept_columns(keep, [id_col, *PROBABILITIES, "toxic"])
 
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            p = chain(matrix([held_terms(t, model["terms"]) for t in texts], len(model["terms"])), model["models"]).astype(np.float64) if model and texts else np.zeros((len(texts), len(CATEGORIES)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p[:, 0] >= threshold).astype(np.int32))], names=[id_col, *keep, "p_toxic", "p_repeated", "toxic"])
+            p = chain(matrix([held_terms(t, model["terms"]) for t in texts], len(model["terms"])), model["models"]).astype(np.float64) if model and texts else np.zeros((len(texts), len(PROBABILITIES)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array((p[:, -1] >= threshold).astype(np.int32))], names=[id_col, *keep, *PROBABILITIES, "toxic"])
 
-    used = docs.select(id_col, *keep, text_col)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema[:-1]]
-    return used.mapInArrow(run, ", ".join([*kinds, "p_toxic double", "p_repeated double", "toxic int"]))
+    used = docs.select(*numbered([id_col, *keep, text_col]))
+    return used.mapInArrow(run, ", ".join([*fields(docs.schema, [id_col, *keep]), *(f"{p} double" for p in PROBABILITIES), "toxic int"]))
