@@ -22,12 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from memstore.llm.common import ASCII_SPACE, numbered
+from memstore.llm.common import ASCII_SPACE, numbered, tidy
 
 #: Distinct chunks that a worker remembers; when full, it forgets all and starts anew.
 CACHE_CHUNKS = 500_000
 #: Text of one slice of a batch, in characters.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 2_000_000
 
 #: Stands for the end of a chunk among ids.
 _BREAK = b"\xff\xff\xff\xff"
@@ -259,4 +259,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     ]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *cols], names=[id_col, *(["ids", "decoded"] if full else ["n_tokens", "ids_sha256", "decoded_sha256"])])
 
-    return docs.select(*numbered([id_col, text_col])).mapInArrow(run, schema)
+    return docs.select(*numbered([id_col, text_col])).mapInArrow(tidy(run), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -77,6 +78,27 @@ class Scratch:
         self.live.pop(name, None)
 
 
+def give_back() -> None:
+    """Returns free memory of Arrow and of the C library, where it can, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function of Arrow batches that gives freed memory back to the system when its task
+    ends: Python workers live on, and what one stage needed mustn't count against the next."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def quoted(names) -> list:
     """Columns by name, whatever characters the names hold."""
     return [F.col(f"`{n}`") for n in names]
@@ -162,9 +184,9 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", s
     split by skew joins, and no neighbour list is ever collected.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = scratch.table(e.mapInArrow(_forests, "u long, v long").where("u <> v"), "edges")
+    e = scratch.table(e.mapInArrow(tidy(_forests), "u long, v long").where("u <> v"), "edges")
     if e.count() <= small:
-        return scratch.table(e.coalesce(1).mapInArrow(_forests, "u long, v long").toDF("node", "component"), "components")
+        return scratch.table(e.coalesce(1).mapInArrow(tidy(_forests), "u long, v long").toDF("node", "component"), "components")
     last = None
     while True:
         # large star: neighbours above u point to the least of u's neighbourhood

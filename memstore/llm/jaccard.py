@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import KEY, Scratch, components, kept_columns, keyed, mix64, prefix_hash, quoted, slices, span_hash, utf8
+from memstore.llm.common import KEY, Scratch, components, kept_columns, keyed, mix64, prefix_hash, quoted, slices, span_hash, tidy, utf8
 
 WORDS, PERCENT = 5, 75
 #: Bytes of text in a chunk; documents of a chunk above which a shingle counts as frequent everywhere.
@@ -369,9 +369,9 @@ def _tile_pairs(percent: int, best: bool):
 def _linked_sets(docs: DataFrame, total: int, words: int, percent: int) -> DataFrame:
     """What _sets gives of all documents, through buckets of shingles and groups of documents."""
     buckets = max(BUCKETS, 1 << max(0, (total // BUCKET).bit_length()))
-    dealt = docs.select(KEY, "__text").mapInArrow(_deal(words, buckets), "bucket long, h binary, at binary, docs binary, sizes binary")
-    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets), "group long, docs binary, sizes binary, counts binary, h binary, level binary")
-    return found.repartition("group").sortWithinPartitions("group").mapInArrow(_sets(percent), f"{KEY} long, n long, shared binary, bits binary, prefix array<long>, ranks array<int>")
+    dealt = docs.select(KEY, "__text").mapInArrow(tidy(_deal(words, buckets)), "bucket long, h binary, at binary, docs binary, sizes binary")
+    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_shared(buckets)), "group long, docs binary, sizes binary, counts binary, h binary, level binary")
+    return found.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_sets(percent)), f"{KEY} long, n long, shared binary, bits binary, prefix array<long>, ranks array<int>")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keep: list[str] = ()) -> DataFrame:
@@ -388,7 +388,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keep = kept_columns(keep, [id_col, "n_shingles", "component_id", "kept"])
     docs = keyed(docs, id_col, [c for c in dict.fromkeys([text_col, *keep]) if c != id_col], scratch)
     docs = docs.select(KEY, F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.struct(F.lit(0).alias("__"), *quoted(keep)).alias("__keep"))
-    per = scratch.table(docs.select(KEY, "__text").mapInArrow(_sizes(words), f"{KEY} long, n long, s1 long, s2 long"), "sizes")
+    per = scratch.table(docs.select(KEY, "__text").mapInArrow(tidy(_sizes(words)), f"{KEY} long, n long, s1 long, s2 long"), "sizes")
     classes = per.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(KEY).alias("rep"))
     rep_of = scratch.table(per.where("n > 0").select(KEY, "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select(KEY, "rep"), "classes")
     total = per.agg(F.sum("n")).first()[0] or 0
@@ -409,7 +409,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("doc"))
         both = members.unionByName(own).join(held, "doc").select("hub", "salt", "role", "doc", "n", "shared")
         both = both.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
-        return scratch.table(both.mapInArrow(_verify(percent), "a long, b long"), name)
+        return scratch.table(both.mapInArrow(tidy(_verify(percent)), "a long, b long"), name)
 
     stars = rows.where("doc <> hub").groupBy("doc", "hub").agg(F.count("*").alias("c"))
     stars = stars.groupBy("doc").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
@@ -440,7 +440,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         parts = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
         own = own.select("*", F.explode(parts).alias("t")).select("key", "band", "t.i", "t.j", "doc", "n", "k", "comp", "own", "block", "rank", "bits")
         own = own.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-        return scratch.table(own.mapInArrow(_tile_pairs(percent, best), "a long, b long").distinct(), name)
+        return scratch.table(own.mapInArrow(tidy(_tile_pairs(percent, best)), "a long, b long").distinct(), name)
 
     for best, name in ((True, "best"), (False, "rest")):
         links = links.unionByName(verified(met(best, name), f"{name}-links"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memstore.llm.common import fields, kept_columns, numbered
+from memstore.llm.common import fields, kept_columns, numbered, tidy
 
 #: Ranks that a profile and a document keep.
 TOP = 400
@@ -105,7 +105,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
 
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     rows = docs.where(lang.isNotNull() & text.isNotNull()).select(lang.cast("string").alias("lang"), text.alias("text"))
-    total = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = rows.mapInPandas(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = total.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= TOP)
     out: dict[str, list[int]] = {}
     for r in ranked.orderBy("lang", "r").collect():
@@ -145,4 +145,4 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
             )
 
     used = docs.select(*numbered([id_col, text_col, *keep]))
-    return used.mapInArrow(run, ", ".join([*fields(docs.schema, [id_col, *keep]), "lang_pred string", "score double"]))
+    return used.mapInArrow(tidy(run), ", ".join([*fields(docs.schema, [id_col, *keep]), "lang_pred string", "score double"]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import KEY, Scratch, components, forest, keyed
+from memstore.llm.common import KEY, Scratch, components, forest, keyed, tidy
 
 THRESHOLD = 0.93
 #: Rows of one side of a tile.
@@ -120,7 +120,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(near)], names=[*batch.schema.names, "__home", "__near"])
 
     rows = reps.select("__rep", "__g", "__d", "__n", "__v")
-    homes = scratch.table(rows.mapInArrow(at_home, "__rep long, __g {}, __d int, __n long, __v array<double>, __home int, __near double".format(reps.schema["__g"].dataType.simpleString())), "homes")
+    homes = scratch.table(rows.mapInArrow(tidy(at_home), "__rep long, __g {}, __d int, __n long, __v array<double>, __home int, __near double".format(reps.schema["__g"].dataType.simpleString())), "homes")
     radius = np.zeros(k)
     for r in homes.where(F.col("__d") == dim).groupBy("__home").agg(F.min("__near").alias("m")).collect():  # k rows at most
         radius[r["__home"]] = math.acos(max(-1.0, min(1.0, r["m"])))
@@ -140,7 +140,7 @@ def near_duplicates(
                     cells[i] += np.flatnonzero(row).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "__cells"])
 
-    spread = homes.select("__rep", "__g", "__d", "__n", "__v", "__home").mapInArrow(visits, "__rep long, __g {}, __d int, __n long, __v array<double>, __home int, __cells array<int>".format(reps.schema["__g"].dataType.simpleString()))
+    spread = homes.select("__rep", "__g", "__d", "__n", "__v", "__home").mapInArrow(tidy(visits), "__rep long, __g {}, __d int, __n long, __v array<double>, __home int, __cells array<int>".format(reps.schema["__g"].dataType.simpleString()))
     spread = scratch.table(spread.select("*", F.explode("__cells").alias("__cell")).drop("__cells").withColumn("__guest", F.col("__cell") != F.col("__home")), "visits")
     cell = ["__g", "__d", "__cell"]
     sizes = spread.groupBy(*cell).agg(F.ceil(F.count_if(~F.col("__guest")) / block).cast("int").alias("__nh"), F.ceil(F.count_if(F.col("__guest")) / block).cast("int").alias("__nv")).where("__nh > 0")

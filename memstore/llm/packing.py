@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from memstore.llm.bpe import text_slices, tokenizer
-from memstore.llm.common import numbered
+from memstore.llm.common import numbered, tidy
 
 WINDOW = 2048
 #: Closes every document.
@@ -206,4 +206,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         if id_type is not None and (found := stream.feed([], [], ends, last=True)):
             yield rows(found)
 
-    return docs.select(*numbered([id_col, text_col])).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return docs.select(*numbered([id_col, text_col])).mapInArrow(tidy(run), f"`{id_col}` {kind}, {SCHEMA}")

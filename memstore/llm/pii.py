@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from memstore.llm.common import fields, numbered
+from memstore.llm.common import fields, numbered, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -405,7 +405,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cr
             cols = list(zip(*got, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string() if i in (4, 5) else pa.int64()) for i, c in enumerate(cols))], names=names)
 
-    return docs.select(*numbered([id_col, text_col])).mapInArrow(run, fields(docs.schema, [id_col])[0] + ", " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
+    return docs.select(*numbered([id_col, text_col])).mapInArrow(tidy(run), fields(docs.schema, [id_col])[0] + ", " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame, text_col: str = "text", crf: SegmentCrf | None = None) -> DataFrame:
@@ -421,4 +421,4 @@ def redact(docs: DataFrame, text_col: str = "text", crf: SegmentCrf | None = Non
                 new.append(redacted(t, base + added) if base or added else t)
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(new, pa.string())).rename_columns(schema.names)
 
-    return docs.select(*numbered(docs.columns)).mapInArrow(run, schema)
+    return docs.select(*numbered(docs.columns)).mapInArrow(tidy(run), schema)

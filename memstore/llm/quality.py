@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import fields, kept_columns, numbered, prefix_hash, slices, span_hash, utf8
+from memstore.llm.common import fields, kept_columns, numbered, prefix_hash, slices, span_hash, tidy, utf8
 
 #: Bounds of the learning sample, in labelled rows, and of its preference pairs.
 SAMPLE_ROWS, PAIRS = 20_000, 60_000
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         for part, x in featured(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = labelled_sample(docs, labels, label_col, id_col, text_col).select("__y", F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "y double, x array<double>").collect()
+    got = labelled_sample(docs, labels, label_col, id_col, text_col).select("__y", F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), "y double, x array<double>").collect()
     got.sort(key=lambda r: (r["y"], r["x"]))
     y = np.array([r["y"] for r in got])
     if not (y == 1).any() or not (y == 0).any():
@@ -162,4 +162,4 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*part.columns[: 1 + len(keep)], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[id_col, *keep, "score", "predicted"])
 
     used = docs.select(*numbered([id_col, *keep, text_col]))
-    return used.mapInArrow(run, ", ".join([*fields(docs.schema, [id_col, *keep]), "score double", "predicted int"]))
+    return used.mapInArrow(tidy(run), ", ".join([*fields(docs.schema, [id_col, *keep]), "score double", "predicted int"]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import BYTE_CODE, KEY, Scratch, fields, kept_columns, keyed, mix64, numbered, prefix_hash, slices, span_hash, utf8
+from memstore.llm.common import BYTE_CODE, KEY, Scratch, fields, kept_columns, keyed, mix64, numbered, prefix_hash, slices, span_hash, tidy, utf8
 
 LENGTH = 200
 #: Bytes of the strings whose least hash names the bucket.
@@ -33,7 +33,7 @@ RUN = 256
 GROUP_BLOCKS, BUCKET_BLOCKS, STEP = 4000, 4000, 16
 #: Period of the difference cover and the cover: every difference mod 31 occurs once.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def _shifts() -> np.ndarray:
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
                 doc, lo, n, fp, bk, twice = blocks_of(data, off, length)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(bk.view(np.int64)), pa.array(twice)], names=[KEY, "lo", "n", "fp", "bk", "twice"])
 
-    blocks = scratch.table(docs.select(KEY, F.col(f"`{text_col}`").alias("__text")).mapInArrow(find, f"{KEY} long, lo int, n int, fp long, bk long, twice boolean"), "blocks")
+    blocks = scratch.table(docs.select(KEY, F.col(f"`{text_col}`").alias("__text")).mapInArrow(tidy(find), f"{KEY} long, lo int, n int, fp long, bk long, twice boolean"), "blocks")
     often = blocks.groupBy("fp").agg(F.count("*").alias("c"), ((F.min("bk") == F.max("bk")) & (F.count("*") > 1)).alias("same"), F.max("twice").alias("t")).where("c > 1 or t").select("fp", "same")
     found = scratch.table(blocks.join(often, "fp"), "repeated")
     scratch.drop(blocks)
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text_col: str, length: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[KEY, "lo", "n", "fp", "edge", "bytes", "bk"])
 
     texts = docs.select(KEY, F.col(f"`{text_col}`").alias("__text")).join(wanted, KEY).select(KEY, "__text", "w")
-    texts = scratch.table(texts.mapInArrow(cut, f"{KEY} long, lo int, n int, fp long, edge boolean, bytes binary, bk long"), "texts")
+    texts = scratch.table(texts.mapInArrow(tidy(cut), f"{KEY} long, lo int, n int, fp long, edge boolean, bytes binary, bk long"), "texts")
     span = [KEY, F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("n") - 1 + length).cast("long").alias("e")]
     # split buckets: the same steps again, on their parts
     parts = texts.where("bk is not null")
@@ -348,4 +348,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kinds = ", ".join(fields(schema, [id_col, *keep]))
     joined = rows.join(spans, KEY, "left").select(*numbered([id_col, text_col, "__spans", *keep]))
-    return joined.mapInArrow(run, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
+    return joined.mapInArrow(tidy(run), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)

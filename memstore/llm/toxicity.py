@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import Scratch, fields, kept_columns, numbered
+from memstore.llm.common import Scratch, fields, kept_columns, numbered, tidy
 from memstore.llm.quality import labelled_sample
 
 #: Bound of the learning sample in labelled rows, terms of the model, folds.
@@ -58,7 +58,7 @@ def _terms(sample: DataFrame, text_col: str) -> list[str]:
     n1, n0 = totals.get(1.0, 0), totals.get(0.0, 0)
     if not n1 or not n0:
         return []
-    found = sample.select("__y", F.col(f"`{text_col}`")).mapInArrow(run, "y double, w string").groupBy("w").agg(F.sum(F.col("y")).alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    found = sample.select("__y", F.col(f"`{text_col}`")).mapInArrow(tidy(run), "y double, w string").groupBy("w").agg(F.sum(F.col("y")).alias("a"), F.sum(1 - F.col("y")).alias("b"))
     a, b, share = F.col("a") + 0.5, F.col("b") + 0.5, n1 / (n1 + n0)
     ratio = 2 * (a * F.log(a / ((a + b) * share)) + b * F.log(b / ((a + b) * (1 - share))))
     found = found.where((F.col("a") + F.col("b") >= MIN_DOCS) & (a * n0 > b * n1)).withColumn("s", F.round(ratio, 6))
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int64())], names=["y", "held", "n"])
 
     # as numbers of terms, few a row: the dense matrix is made once, on the driver
-    got = sorted((tuple(r["held"]), r["n"], r["y"]) for r in sample.select("__y", "__text").mapInArrow(run, "y double, held array<int>, n long").collect())
+    got = sorted((tuple(r["held"]), r["n"], r["y"]) for r in sample.select("__y", "__text").mapInArrow(tidy(run), "y double, held array<int>, n long").collect())
     scratch.drop(sample)
     return learned(got, terms)
 
@@ -188,4 +188,4 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array((p[:, -1] >= threshold).astype(np.int32))], names=[id_col, *keep, *PROBABILITIES, "toxic"])
 
     used = docs.select(*numbered([id_col, *keep, text_col]))
-    return used.mapInArrow(run, ", ".join([*fields(docs.schema, [id_col, *keep]), *(f"{p} double" for p in PROBABILITIES), "toxic int"]))
+    return used.mapInArrow(tidy(run), ", ".join([*fields(docs.schema, [id_col, *keep]), *(f"{p} double" for p in PROBABILITIES), "toxic int"]))
