@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memstore.errors import Invalid
-from memstore.functions import vectors as V
 
 #: Bound of the training sample, Lloyd rounds, codewords of a subspace, defaults of a query.
 SAMPLE, ROUNDS, CODEWORDS, N_PROBE, N_RERANK = 50_000, 25, 256, 8, 64
+#: Centroids of assign(), products that its task holds at once, bound of their rounding.
+MAX_CENTROIDS, CELLS, ROUNDING = 65_536, 1 << 22, 1e-12
 
 
 def partition_count(n: int, wanted: int | None = None) -> int:
@@ -145,12 +146,39 @@ def candidates(postings: DataFrame, index: Index, query: list[float], n_probe: i
 
 def assign(mem: DataFrame, centroids: DataFrame) -> DataFrame:
     """(slot, part): the nearest of centroids (part, vector) by squared distance, the first on a tie.
-    The centroids are few (partition_count) and are collected into one literal, checked against 65,536."""
-    rows = centroids.orderBy("part").limit(65_537).collect()
-    if len(rows) > 65_536:
+
+    The centroids are few (partition_count): they are checked against MAX_CENTROIDS and go to
+    every task as one matrix.  Matrix products choose those within rounding of the nearest,
+    exact differences decide among them."""
+    rows = centroids.orderBy("part").limit(MAX_CENTROIDS + 1).collect()
+    if len(rows) > MAX_CENTROIDS:
         raise Invalid("too many centroids")
-    options = F.array(*[F.struct(V.squared_l2(F.col("vector"), V.literal(r["vector"])).alias("d"), F.lit(r["part"]).alias("part")) for r in rows])
-    return mem.select("slot", F.array_min(options)["part"].alias("part"))
+    if not rows:
+        raise Invalid("no centroids")
+    parts, centre = np.array([r["part"] for r in rows]), np.array([r["vector"] for r in rows], np.float64)
+    norm = (centre**2).sum(axis=1)
+    wide = max(1, CELLS // len(rows))
+
+    def run(batches):
+        for batch in (whole.slice(at, wide) for whole in batches for at in range(0, whole.num_rows, wide)):
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            d = norm[None] - 2 * (x @ centre.T)
+            near = d <= d.min(axis=1, keepdims=True) + ROUNDING * (norm.max() + (x**2).sum(axis=1, keepdims=True))
+            best = d.argmin(axis=1)
+            for i in np.flatnonzero(near.sum(axis=1) > 1):
+                some = np.flatnonzero(near[i])
+                best[i] = some[np.array([squared(x[i], c) for c in centre[some]]).argmin()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts[best])], names=["slot", "part"])
+
+    return mem.select("slot", "vector").mapInArrow(run, f"slot long, part {centroids.schema['part'].dataType.simpleString()}")
+
+
+def squared(x: np.ndarray, y: np.ndarray) -> float:
+    """The squared distance, summed in the vectors' order."""
+    total = 0.0
+    for d in (x - y).tolist():
+        total += d * d
+    return total
 
 
 def info(postings: DataFrame, index: Index) -> DataFrame:

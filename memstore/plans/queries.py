@@ -57,9 +57,10 @@ def scan_live(mem):
     return R.scan_live(mem).select("slot", "memory_type", "agent_id", "content")
 
 
-@query("mem", f"SELECT slot, content, created_at FROM mem WHERE slot = 33 AND {LIVE}")
+@query("mem", f"SELECT slot, content, created_at FROM mem WHERE slot IN (0, 33) AND {LIVE}")
 def get_by_id(mem):
-    return R.get(mem, "slot", 33).select("slot", "content", "created_at")
+    # 0 is expired and found all the same, 33 is deleted
+    return R.get(mem, "slot", 0).unionByName(R.get(mem, "slot", 33)).select("slot", "content", "created_at")
 
 
 @query("mem", "SELECT slot AS id, content, accessed_at, access_count, deleted FROM mem")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,10 @@ class Files:
     def names(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(folder))) if self.exists(folder) else []
 
+    def age(self, name: str) -> float:
+        """Seconds since a file was last written."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def read(self, name: str) -> bytes:
         stream = self.fs.open(self.path(name))
         try:
@@ -49,9 +54,12 @@ class Files:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A fresh folder in the shared place of spark.checkpoint.dir.  Where that is unset: in the warehouse on a cluster, a temporary one on one machine."""
     import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="memstore-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        root = "file://" + tempfile.mkdtemp(prefix="memstore-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

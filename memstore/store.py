@@ -1,14 +1,17 @@
 """A store on disk: immutable Parquet versions under a manifest for each transaction.
 
     store.json               dimensions, key derivation, wrapped key
-    records/txn=N            bodies written by transaction N
-    catalog/txn=N            the whole catalog as of N: slot, version, tombstone, access statistics
-    cache/txn=N              the whole result cache as of N
-    index/txn=N              postings by partition, and the trained centres
-    _manifest/N.json         the commit point, created exclusively
-
-Reads see a transaction's files and what this handle has pending.  A crash before the
-manifest leaves folders that nothing refers to.
+    records/txn=N-*          bodies written by an attempt at transaction N
+    catalog/txn=N-*          the whole catalog as of N: slot, version, tombstone, access statistics
+    cache/txn=N-*            the whole result cache as of N
+    index/txn=N-*            postings by partition, and the trained centres
+    _manifest/N.json         the commit point, created exclusively, with a checksum of itself
+
+Each attempt writes to folders of its own, so a writer that loses the race for a manifest
+harms nothing: it keeps what it has pending, and `refresh` lets it try again.  Reads see a
+transaction's files and what this handle has pending.  A crash before the manifest leaves
+folders that nothing refers to; one within it leaves a torn manifest, which readers skip and
+the next writer passes after TORN_SECONDS.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import io
 import json
 import os
 import time
+import uuid
+import zlib
 from collections.abc import Callable
 from dataclasses import asdict, replace
 from functools import wraps
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memstore import schema as M
-from memstore.errors import Corrupt, Invalid, NotFound, ReadOnlyError, UnsupportedVersion, WrongPassphrase
+from memstore.errors import Corrupt, Invalid, Locked, NotFound, ReadOnlyError, UnsupportedVersion, WrongPassphrase
 from memstore.functions.text import ulid, ulid_column
 from memstore.operators import ann, cache, catalog
 from memstore.operators import recall as R
@@ -36,6 +41,8 @@ from memstore.sources.files import Files
 
 FORMAT, MAX_SNAPSHOTS = 1, 256
 SEALED = ("content", "metadata")
+#: Seconds after which a manifest that can't be read counts as torn, not as being written.
+TORN_SECONDS = 60
 
 
 class Store:
@@ -93,13 +100,22 @@ class Store:
                 raise WrongPassphrase("the passphrase doesn't open this store")
         return cls(spark, path, header, key, read_only, clock or (lambda: int(time.time())))
 
+    def _manifests(self) -> list[str]:
+        return [n for n in self.files.names("_manifest") if n.endswith(".json")]
+
+    def _manifest_of(self, name: str) -> dict | None:
+        """A manifest, or None where it is torn: never committed."""
+        try:
+            out = self.files.read_json(f"_manifest/{name}")
+            check = out.pop("crc32", None)
+        except (ValueError, AttributeError):
+            return None
+        return out if check is None or check == _checksum(out) else None
+
     def _newest(self) -> dict:
-        for name in reversed(self.files.names("_manifest")):
-            if name.endswith(".json"):
-                try:
-                    return self.files.read_json(f"_manifest/{name}")
-                except ValueError:  # torn by a crash: never committed
-                    continue
+        for name in reversed(self._manifests()):
+            if (found := self._manifest_of(name)) is not None:
+                return found
         return {"txn": 0, "created_at": 0, "records": [], "catalog": None, "cache": None, "index": None, "next_slot": 0, "count": 0}
 
     def __enter__(self) -> Store:
@@ -131,9 +147,13 @@ class Store:
     def _catalog(self) -> DataFrame:
         return self._read([self.manifest["catalog"]] if self.manifest["catalog"] else [], M.CATALOG)
 
-    def relation(self) -> DataFrame:
-        """All memories, tombstones included, with this handle's pending changes."""
-        out = R.memories(self._records(), self._catalog()).drop("version")
+    def relation(self, slots: list[int] | None = None) -> DataFrame:
+        """All memories, tombstones included, with this handle's pending changes.  slots: only
+        those, a few; both scans get them as a filter, and records are written in slot order."""
+        records, own = self._records(), self._catalog()
+        if slots is not None:
+            records, own = records.where(F.col("slot").isin(slots)), own.where(F.col("slot").isin(slots))
+        out = R.memories(records, own).drop("version")
         if self.marks:
             rows = self.spark.createDataFrame(list(self.marks.items()), "id string, __d boolean")
             out = out.join(F.broadcast(rows), "id", "left").withColumn("deleted", F.coalesce("__d", "deleted")).drop("__d")
@@ -187,10 +207,11 @@ class Store:
         return row["id"]
 
     def remember_frame(self, rows: DataFrame) -> int:
-        """Bulk append in one transaction: content, vector and any other record columns.
+        """Bulk upsert in one transaction: content, vector and any other record columns.
 
-        Slots follow the partitions' order: rows are written once, counted by partition, and
-        numbered within each, so no task sees all rows."""
+        A known id is overwritten and keeps slot and access statistics; of an id that repeats
+        among the rows the last one counts.  New slots follow the partitions' order: rows are
+        written once, counted by partition, and numbered within each, so no task sees all rows."""
         self._write()
         self.flush()
         now, txn = self.clock(), self.manifest["txn"] + 1
@@ -198,33 +219,76 @@ class Store:
         default = {"memory_type": F.lit("semantic"), "agent_id": F.lit(M.DEFAULT_AGENT), "scope": F.lit("private"), "importance": F.lit(M.DEFAULT_IMPORTANCE), "created_at": F.lit(now), "metadata": F.lit("{}"), "session_id": F.lit(None), "ttl_secs": F.lit(None)}
         sized = F.when(F.size("vector") == self.dimensions, F.col("vector").cast("array<float>")).otherwise(F.raise_error(F.lit(f"a vector hasn't {self.dimensions} dimensions")).cast("array<float>"))
         body = rows.select(
-            *([F.col("id")] if "id" in have else [ulid_column(now * 1000).alias("id")]), sized.alias("vector"), "content",
+            (F.coalesce(F.col("id"), ulid_column(now * 1000)) if "id" in have else ulid_column(now * 1000)).alias("id"), sized.alias("vector"), "content",
+            *[(F.greatest(F.col(c).cast("long"), F.lit(0)) if c in have else F.lit(None).cast("long")).alias(c) for c in ("accessed_at", "access_count")],
             *[(F.coalesce(F.col(c), d) if c in have else d).cast(M.RECORDS[c].dataType).alias(c) for c, d in default.items()], F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"),
         )
-        staged = f"{self.path}/staged/txn={txn}"
-        body.write.mode("overwrite").parquet(staged)
+        tag = _tag(txn)
+        staged = f"{self.path}/staged/{tag}"
+        body.write.parquet(staged)
         body = self.spark.read.parquet(staged)
+        if "id" in have:
+            last = body.groupBy("id").agg(F.max(F.struct("__p", "__m")).alias("__l"))
+            body = body.join(last, "id").where((F.col("__p") == F.col("__l.__p")) & (F.col("__m") == F.col("__l.__m"))).drop("__l")
+        known = self._catalog().select("id", "slot", F.col("accessed_at").alias("__t"), F.col("access_count").alias("__n"))
+        old = body.join(known, "id").withColumn("accessed_at", F.col("__t")).withColumn("access_count", F.col("__n")) if "id" in have else None
+        body = body.join(known, "id", "left_anti") if "id" in have else body
+        body = body.withColumn("accessed_at", F.coalesce("accessed_at", F.lit(now))).withColumn("access_count", F.coalesce("access_count", F.lit(0)))
         sizes = {r["__p"]: r["count"] for r in body.groupBy("__p").count().collect()}
         start, at = {}, self.manifest["next_slot"]
         for p in sorted(sizes):
             start[p], at = at, at + sizes[p]
         first = self.spark.createDataFrame(list(start.items()) or [(0, 0)], "__p int, __s long")
         rank = F.row_number().over(Window.partitionBy("__p").orderBy("__m"))
-        numbered = body.withColumn("__r", rank).join(F.broadcast(first), "__p").withColumn("slot", F.col("__s") + F.col("__r") - 1).withColumn("version", F.lit(txn).cast("long"))
-        self._seal(numbered).select(*[f.name for f in M.RECORDS], "version").write.mode("overwrite").parquet(f"{self.path}/records/txn={txn}")
-        fresh = self._read([f"records/txn={txn}"], M.T.StructType([*M.RECORDS.fields, M.T.StructField("version", M.T.LongType())]))
-        fresh = fresh.select("id", "slot", "version", F.lit(False).alias("deleted"), F.lit(now).cast("long").alias("accessed_at"), F.lit(0).cast("long").alias("access_count"))
-        self._catalog().unionByName(fresh).write.mode("overwrite").parquet(f"{self.path}/catalog/txn={txn}")
-        self.files.delete("staged")
-        self._commit(self.manifest | {"records": [*self.manifest["records"], f"records/txn={txn}"], "catalog": f"catalog/txn={txn}", "next_slot": at})
-        return at - (min(start.values()) if start else at)
+        numbered = body.withColumn("__r", rank).join(F.broadcast(first), "__p").withColumn("slot", F.col("__s") + F.col("__r") - 1)
+        columns = [*[f.name for f in M.RECORDS], "accessed_at", "access_count"]
+        written = numbered.select(*columns) if old is None else numbered.select(*columns).unionByName(old.select(*columns))
+        self._seal(written.withColumn("version", F.lit(txn).cast("long"))).write.parquet(f"{self.path}/records/{tag}")
+        fresh = self.spark.read.parquet(f"{self.path}/records/{tag}").select("id", "slot", "version", F.lit(False).alias("deleted"), "accessed_at", "access_count")
+        before = self._catalog()
+        before = before if old is None else before.join(fresh.select("id"), "id", "left_anti").select(*before.columns)
+        before.unionByName(fresh).write.parquet(f"{self.path}/catalog/{tag}")
+        n = fresh.count()
+        self.files.delete(f"staged/{tag}")
+        new = dict(self.manifest) | {"records": [*self.manifest["records"], f"records/{tag}"], "catalog": f"catalog/{tag}", "next_slot": at}
+        if new["index"]:
+            self._commit(new | {"index": None})
+            self._follow(old_index=new["index"])
+        else:
+            self._commit(new)
+        return n
+
+    def _follow(self, old_index: str) -> None:
+        """Codes of all live rows under an index's centres, as a transaction."""
+        index = self._index(old_index)
+        self._commit(self.manifest | {"index": self._save_index(index, _tag(self.manifest["txn"] + 1))})
 
     def import_jsonl(self, path: str) -> int:
+        """All lines of a file as one transaction; a bad line fails the whole import and is named by its number."""
+        if (bad := jsonl.first_bad_line(self.spark, path)) is not None:
+            raise Invalid(f"bad line {bad[0]}: {bad[1]}")
         return self.remember_frame(jsonl.read_memories(self.spark, path))
 
     def export_jsonl(self, path: str, with_vector: bool = False) -> None:
         jsonl.write_memories(self.memories(), path, with_vector)
 
+    def export_sealed(self, path: str, passphrase: str) -> None:
+        """Lines with vectors, each sealed under a key derived from the passphrase; salt and parameters lie beside them."""
+        salt = os.urandom(16)
+        key = crypto.derive_key(passphrase, salt)
+        self.memories().select(F.regexp_replace(crypto.seal(jsonl.line(True), key, F.lit("export")), "\\s", "").alias("value")).write.text(f"{path.rstrip('/')}/lines")
+        Files(self.spark, path).write("export.json", json.dumps({"format": FORMAT, "kdf": crypto.KDF, "salt": salt.hex()}).encode())
+
+    def import_sealed(self, path: str, passphrase: str) -> int:
+        """What export_sealed wrote; a wrong passphrase or a changed line fails the whole import."""
+        header = Files(self.spark, path).read_json("export.json")
+        key = crypto.derive_key(passphrase, bytes.fromhex(header["salt"]), header["kdf"])
+        sealed = self.spark.read.text(f"{path.rstrip('/')}/lines")
+        opened = crypto.open_sealed(F.col("value"), key, F.lit("export"))
+        if sealed.where(opened.isNull()).limit(1).count():
+            raise WrongPassphrase("the passphrase doesn't open this export, or a line was changed")
+        return self.remember_frame(jsonl.memories_of(sealed.select(opened.alias("value"))))
+
     def get(self, id: str) -> dict:
         row = self._find(id)
         if row is None or row["deleted"]:
@@ -252,8 +316,9 @@ class Store:
 
     def insert_default_manifest(self, name: str = "memory store") -> str:
         """A shared onboarding memory that says what the store is; to be replaced by its owner."""
-        meta = {"area": "onboarding", "topic": "manifest", "scaffold": True}
-        return self.remember(f"{name}: replace this text by what a reader of the memories should know first.", "semantic", [0.0] * self.dimensions, importance=1.0, shared=True, metadata=meta)
+        meta = {"area": "onboarding", "topic": "manifest", "scaffold": True, "dimensions": self.dimensions, "format": FORMAT}
+        text = f"{name}: replace this text by what a reader of the memories should know first. Vectors have {self.dimensions} dimensions; embed with one model throughout and name it and its version here."
+        return self.remember(text, "semantic", [0.0] * self.dimensions, importance=1.0, shared=True, metadata=meta)
 
     def search(self, query, top_k: int = 5, metric: str = "cosine") -> DataFrame:
         return R.search(self.relation(), M.check_vector(query, self.dimensions), top_k, self.clock(), metric)
@@ -270,7 +335,8 @@ class Store:
             if self.rows:  # pending rows aren't in the postings yet
                 extra = self.spark.createDataFrame([(r["slot"], 1 << 30) for r in self.rows.values()], "slot long, rank int")
                 found = found.unionByName(extra).groupBy("slot").agg(F.min("rank").alias("rank"))
-        hits = [r.asDict(True) for r in R.recall(self.relation(), request, now, found).collect()]
+        slots = None if found is None else [r["slot"] for r in found.collect()]  # n_rerank and the pending rows
+        hits = [r.asDict(True) for r in R.recall(self.relation(slots), request, now, found).collect()]
         if request.track_access:
             for h in hits:
                 n, _ = self.touched.get(h["id"], (0, 0))
@@ -301,8 +367,8 @@ class Store:
     def has_index(self) -> bool:
         return bool(self.manifest["index"])
 
-    def _index(self) -> ann.Index:
-        z = np.load(io.BytesIO(self.files.read(f"{self.manifest['index']}/_centres.npz")))
+    def _index(self, name: str | None = None) -> ann.Index:
+        z = np.load(io.BytesIO(self.files.read(f"{name or self.manifest['index']}/_centres.npz")))
         return ann.Index(z["centres"], [z[f"book{i}"] for i in range(int(z["books"]))], int(z["n_probe"]), int(z["n_rerank"]))
 
     def _postings(self) -> DataFrame:
@@ -311,8 +377,8 @@ class Store:
     def index_info(self) -> dict | None:
         return ann.info(self._postings(), self._index()).first().asDict() if self.has_index() else None
 
-    def _save_index(self, index: ann.Index, txn: int) -> str:
-        name = f"index/txn={txn}"
+    def _save_index(self, index: ann.Index, tag: str) -> str:
+        name = f"index/{tag}"
         ann.write_postings(ann.encode(self.relation(), index), f"{self.path}/{name}/postings")
         out = io.BytesIO()
         np.savez(out, centres=index.centres, books=len(index.codebooks), n_probe=index.n_probe, n_rerank=index.n_rerank, **{f"book{i}": b for i, b in enumerate(index.codebooks)})
@@ -328,23 +394,56 @@ class Store:
                 rows = rows.withColumn(c, crypto.seal(F.col(c), self.key, aad))
         return rows
 
+    def _free(self) -> int:
+        """The number of the next transaction: past manifests that a crash has torn."""
+        txn, have = self.manifest["txn"] + 1, set(self._manifests())
+        while (name := f"{txn:012d}.json") in have:
+            if self._manifest_of(name) is not None or self.files.age(f"_manifest/{name}") < TORN_SECONDS:
+                raise Locked(f"transaction {txn} was committed by another writer, or is being committed")
+            txn += 1
+        return txn
+
     def _commit(self, manifest: dict) -> None:
-        txn = self.manifest["txn"] + 1
+        txn = self._free()
         manifest = manifest | {"txn": txn, "created_at": self.clock()}
         old, self.manifest = self.manifest, manifest
         manifest["count"] = self._catalog().where("not deleted").count()
         try:
-            self.files.write(f"_manifest/{txn:012d}.json", json.dumps(manifest).encode(), exclusive=True)
+            self.files.write(f"_manifest/{txn:012d}.json", json.dumps(manifest | {"crc32": _checksum(manifest)}).encode(), exclusive=True)
         except Exception:
             self.manifest = old
             raise
         self._prune()
 
     def _prune(self) -> None:
-        names = self.files.names("_manifest")
-        if self.max_snapshots:
-            for n in names[: -self.max_snapshots]:
-                self.files.delete(f"_manifest/{n}")
+        names = self._manifests()
+        if self.max_snapshots and len(names) > self.max_snapshots:
+            self._drop(names[: -self.max_snapshots])
+
+    def _drop(self, names: list[str]) -> None:
+        """Deletes snapshots, and the folders that only they refer to."""
+        gone = set().union(*(_folders(self._manifest_of(n)) for n in names))
+        for n in names:
+            self.files.delete(f"_manifest/{n}")
+        for folder in gone.difference(*(_folders(self._manifest_of(n)) for n in self._manifests())):
+            self.files.delete(folder)
+
+    def refresh(self) -> None:
+        """Goes on from the newest transaction, with what this handle has pending: after Locked, flush can be tried again.
+
+        Pending memories of ids that are known by now take over slot and statistics; others get new slots."""
+        self.manifest = self._newest()
+        at, pending = self.manifest["next_slot"], self.rows
+        if not pending:
+            return
+        self.rows = {}
+        known = {r["id"]: r for r in self.relation().where(F.col("id").isin(list(pending))).select("id", "slot", "accessed_at", "access_count").collect()}
+        for key, row in pending.items():
+            if key in known:
+                row |= {k: known[key][k] for k in ("slot", "accessed_at", "access_count")}
+            else:
+                row["slot"], at = at, at + 1
+        self.rows = pending
 
     def set_max_snapshots(self, n: int) -> None:
         self.max_snapshots = n
@@ -356,13 +455,14 @@ class Store:
         if not (dirty or self.cached or self.index_change is not None):
             return
         txn, new = self.manifest["txn"] + 1, dict(self.manifest)
+        tag = _tag(txn)
         if dirty:
             rel = self.relation()
             if self.rows:
                 schema = M.T.StructType([*M.RECORDS.fields, *M.CATALOG.fields[3:]])
                 rows = self.spark.createDataFrame(list(self.rows.values()), schema).withColumn("version", F.lit(txn).cast("long"))
-                self._seal(rows).select(*[f.name for f in M.RECORDS], "version").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/records/txn={txn}")
-                new["records"] = [*new["records"], f"records/txn={txn}"]
+                self._seal(rows).select(*[f.name for f in M.RECORDS], "version").coalesce(1).write.parquet(f"{self.path}/records/{tag}")
+                new["records"] = [*new["records"], f"records/{tag}"]
                 new["next_slot"] = max(new["next_slot"], 1 + max(r["slot"] for r in self.rows.values()))
             fresh = F.col("id").isin(list(self.rows)) if len(self.rows) <= 1000 else F.lit(False)
             versions = self._catalog().select("id", "version")
@@ -371,33 +471,32 @@ class Store:
                 mine = F.broadcast(self.spark.createDataFrame([(i, True) for i in self.rows], "id string, __f boolean"))
                 merged, fresh = merged.join(mine, "id", "left"), F.coalesce(F.col("__f"), F.lit(False))
             merged = merged.withColumn("version", F.when(fresh, F.lit(txn)).otherwise(F.col("version")).cast("long"))
-            merged.select(*[f.name for f in M.CATALOG]).write.mode("overwrite").parquet(f"{self.path}/catalog/txn={txn}")
-            new["catalog"] = f"catalog/txn={txn}"
+            merged.select(*[f.name for f in M.CATALOG]).write.parquet(f"{self.path}/catalog/{tag}")
+            new["catalog"] = f"catalog/{tag}"
         if self.cached:
-            self._cache_rows().write.mode("overwrite").parquet(f"{self.path}/cache/txn={txn}")
-            new["cache"] = f"cache/txn={txn}"
+            self._cache_rows().write.parquet(f"{self.path}/cache/{tag}")
+            new["cache"] = f"cache/{tag}"
         if self.index_change is False:
             new["index"] = None
         elif self.index_change is not None:
-            new["index"] = self._save_index(ann.train(self.relation(), *self.index_change), txn)
+            new["index"] = self._save_index(ann.train(self.relation(), *self.index_change), tag)
         elif new["index"] and (self.rows or self.marks):
-            new["index"] = self._save_index(self._index(), txn)  # centres stay, codes follow
+            new["index"] = self._save_index(self._index(), tag)  # centres stay, codes follow
+        self._commit(new)  # Locked leaves all that is pending as it was
         self._reset()
-        self._commit(new)
 
     def snapshots(self) -> list[dict]:
-        out = [self.files.read_json(f"_manifest/{n}") for n in self.files.names("_manifest") if n.endswith(".json")]
-        return [{"txn_id": m["txn"], "created_at": m["created_at"], "memory_count": m["count"]} for m in out]
+        out = [self._manifest_of(n) for n in self._manifests()]
+        return [{"txn_id": m["txn"], "created_at": m["created_at"], "memory_count": m["count"]} for m in out if m is not None]
 
     def restore_to(self, txn: int) -> None:
         """Makes an old state the newest transaction; the result cache stays as it is."""
         self._write()
         if self.rows or self.marks or self.touched:
             raise Invalid("flush or drop pending changes before a restore")
-        name = f"_manifest/{txn:012d}.json"
-        if not self.files.exists(name):
+        name = f"{txn:012d}.json"
+        if not self.files.exists(f"_manifest/{name}") or (old := self._manifest_of(name)) is None:
             raise NotFound(f"snapshot {txn}")
-        old = self.files.read_json(name)
         self._commit(self.manifest | {k: old[k] for k in ("records", "catalog", "index")})
 
     def restore_to_time(self, t: int) -> int:
@@ -414,18 +513,14 @@ class Store:
         self.flush()
         before, now, txn = self.relation().count(), self.clock(), self.manifest["txn"] + 1
         kept = catalog.compact(self.relation(), now).withColumn("slot", F.col("new_slot")).withColumn("version", F.lit(txn).cast("long"))
-        index = self._index() if self.has_index() else None
-        self._seal(kept).select(*[f.name for f in M.RECORDS], "version", "deleted", "accessed_at", "access_count").write.mode("overwrite").parquet(f"{self.path}/records/txn={txn}")
-        self.spark.read.parquet(f"{self.path}/records/txn={txn}").select(*[f.name for f in M.CATALOG]).write.mode("overwrite").parquet(f"{self.path}/catalog/txn={txn}")
-        old = [f"_manifest/{n}" for n in self.files.names("_manifest")]
-        stale = {self.manifest["catalog"], *self.manifest["records"]}
-        n = self.spark.read.parquet(f"{self.path}/catalog/txn={txn}").count()
-        self._commit(self.manifest | {"records": [f"records/txn={txn}"], "catalog": f"catalog/txn={txn}", "index": None, "next_slot": n})
-        for name in [*old, *(s for s in stale if s)]:
-            self.files.delete(name)
+        index, tag = self._index() if self.has_index() else None, _tag(txn)
+        self._seal(kept).select(*[f.name for f in M.RECORDS], "version", "deleted", "accessed_at", "access_count").write.parquet(f"{self.path}/records/{tag}")
+        self.spark.read.parquet(f"{self.path}/records/{tag}").select(*[f.name for f in M.CATALOG]).write.parquet(f"{self.path}/catalog/{tag}")
+        n = self.spark.read.parquet(f"{self.path}/catalog/{tag}").count()
+        self._commit(self.manifest | {"records": [f"records/{tag}"], "catalog": f"catalog/{tag}", "index": None, "next_slot": n})
         if index is not None and n:
             self.build_index(n_probe=index.n_probe, n_rerank=index.n_rerank)
-            self.files.delete(f"_manifest/{txn:012d}.json")
+        self._drop(self._manifests()[:-1])
         return {"before": before, "after": n}
 
     def verify(self) -> int:
@@ -446,7 +541,7 @@ class Store:
 
     def stats(self) -> dict:
         row = catalog.stats(self.relation()).first()
-        return {"live": row["live"], "deleted": row["deleted"], "agents": row["agents"].split(",") if row["agents"] else [], "dimensions": self.dimensions, "created_at": self.header["created_at"], "snapshots": len(self.files.names("_manifest")), "sealed": self.key is not None, "indexed": self.has_index()}
+        return {"live": row["live"], "deleted": row["deleted"], "agents": row["agents"].split(",") if row["agents"] else [], "dimensions": self.dimensions, "created_at": self.header["created_at"], "snapshots": len(self.snapshots()), "sealed": self.key is not None, "indexed": self.has_index()}
 
     def set_cache_capacity(self, _pages: int) -> None:
         """Accepted and ignored: Spark's block manager does the caching."""
@@ -501,10 +596,10 @@ class Store:
         mine = self._cache_rows().where(F.col("namespace") == namespace)
         use = mine.agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b")).first()
         if use["n"] > entries or (use["b"] or 0) > size:
-            left = cache.within_budget(mine, entries, size).select("key_hash")
-            for r in mine.join(left, "key_hash", "left_anti").select("key_hash").collect():
-                self.cached[namespace, r["key_hash"]] = None
-                self.evictions += 1
+            left = cache.within_budget(mine, entries, size)
+            others = self._cache_rows().where(F.col("namespace") != namespace)
+            self.evictions += self._cache_replace(others.unionByName(left.select(*others.columns)))
+            return
         self._cache_changed()
 
     def cache_put_semantic(self, namespace: str, key: str, vector, value: bytes, model: str, **options) -> None:
@@ -541,11 +636,19 @@ class Store:
 
     def cache_purge(self, namespace: str | None = None, expired_only: bool = False) -> int:
         self._write()
-        gone = cache.purged(self._cache_rows(), self.clock(), namespace, expired_only).select("namespace", "key_hash").collect()
-        self.cached |= {(r["namespace"], r["key_hash"]): None for r in gone}
-        if gone:
-            self.flush()
-        return len(gone)
+        rows = self._cache_rows()
+        gone = cache.purged(rows, self.clock(), namespace, expired_only).select("namespace", "key_hash")
+        if not gone.limit(1).count():
+            return 0
+        return self._cache_replace(rows.join(gone, ["namespace", "key_hash"], "left_anti").select(*rows.columns))
+
+    def _cache_replace(self, rows: DataFrame) -> int:
+        """Makes `rows` the result cache, as a transaction; returns how many entries are gone."""
+        tag, before = _tag(self.manifest["txn"] + 1), self._cache_rows().count()
+        rows.write.parquet(f"{self.path}/cache/{tag}")
+        self._commit(self.manifest | {"cache": f"cache/{tag}"})
+        self.cached, self.cache_since = {}, None
+        return before - self._cache_rows().count()
 
     def cache_stats(self, namespace: str | None = None) -> dict:
         row = cache.stats(self._cache_rows(), namespace).agg(F.sum("entries").alias("e"), F.sum("bytes").alias("b")).first()
@@ -577,6 +680,20 @@ class Store:
         return Session(self, agent_id, session_id or ulid())
 
 
+def _tag(txn: int) -> str:
+    """The name of the folders of one attempt at a transaction."""
+    return f"txn={txn}-{uuid.uuid4().hex[:12]}"
+
+
+def _checksum(manifest: dict) -> int:
+    return zlib.crc32(json.dumps(manifest, sort_keys=True).encode())
+
+
+def _folders(manifest: dict | None) -> set[str]:
+    """The folders that a manifest refers to."""
+    return set() if manifest is None else {f for f in (*manifest["records"], manifest["catalog"], manifest["cache"], manifest["index"]) if f}
+
+
 def request(**options) -> R.Request:
     return replace(R.Request(), **options)
 
