@@ -10,7 +10,6 @@ front of a queue of increasing g whose positions lie within one window of p.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections import deque
 
@@ -84,16 +83,17 @@ class Cuts:
         return cuts
 
     def settled(self) -> list[int]:
-        """The cuts that all open starts share, which no later place can change; they are forgotten here."""
-        heap = [-i for _, _, i in self.queue]
-        heapq.heapify(heap)
-        seen = set(heap)
-        while len(heap) > 1:
-            up = -self.back[-heapq.heappop(heap)]
-            if up not in seen:
-                seen.add(up)
-                heapq.heappush(heap, up)
-        return self._forget(-heap[0])
+        """The cuts that all open starts share, which no later place can change; they are forgotten here.
+
+        A later node never has an earlier start, so paths don't cross, and what the first and
+        the last open start share all share."""
+        a, b = self.queue[0][2], self.queue[-1][2]
+        while a != b:
+            if a > b:
+                a = self.back[a]
+            else:
+                b = self.back[b]
+        return self._forget(a)
 
     def best(self) -> list[int]:
         """The cuts up to the best last one; what was open otherwise is given up."""
