@@ -10,6 +10,7 @@ front of a queue of increasing g whose positions lie within one window of p.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 
@@ -28,6 +29,8 @@ END_ID = 1
 SENTENCE_COST, TRUNCATION_COST = 1, 8
 #: Tokens that may wait for their cuts; beyond, the best cuts so far hold.
 HORIZON = 1 << 24
+#: Tokens that gather before it is asked which cuts are settled.  That they are doesn't depend on when it is asked.
+GATHER = 1 << 21
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -83,17 +86,16 @@ class Cuts:
         return cuts
 
     def settled(self) -> list[int]:
-        """The cuts that all open starts share, which no later place can change; they are forgotten here.
-
-        A later node never has an earlier start, so paths don't cross, and what the first and
-        the last open start share all share."""
-        a, b = self.queue[0][2], self.queue[-1][2]
-        while a != b:
-            if a > b:
-                a = self.back[a]
-            else:
-                b = self.back[b]
-        return self._forget(a)
+        """The cuts that all open starts share, which no later place can change; they are forgotten here."""
+        heap = [-i for _, _, i in self.queue]
+        heapq.heapify(heap)
+        seen = set(heap)
+        while len(heap) > 1:
+            up = -self.back[-heapq.heappop(heap)]
+            if up not in seen:
+                seen.add(up)
+                heapq.heappush(heap, up)
+        return self._forget(-heap[0])
 
     def best(self) -> list[int]:
         """The cuts up to the best last one; what was open otherwise is given up."""
@@ -137,7 +139,10 @@ class Stream:
             price = np.full(len(places), SENTENCE_COST)
             price[np.searchsorted(places, fresh)] = 0
             self.cuts.add((places + (old + self.gone)).tolist(), price.tolist())
-        cuts = self.cuts.best() if last or len(stream) > HORIZON else self.cuts.settled()
+        if last or len(stream) > HORIZON:
+            cuts = self.cuts.best()
+        else:
+            cuts = self.cuts.settled() if len(stream) >= GATHER else []
         cuts = [c - self.gone for c in cuts]
         upto = cuts[-1] if cuts else 0
         if last:
