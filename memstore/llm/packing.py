@@ -29,7 +29,7 @@ END_ID = 1
 SENTENCE_COST, TRUNCATION_COST = 1, 8
 #: Tokens that may wait for their cuts; beyond, the best cuts so far hold.
 HORIZON = 1 << 24
-#: Tokens that gather before it is asked which cuts are settled.  That they are doesn't depend on when it is asked.
+#: Least tokens that gather before it is asked which cuts are settled.  That they are doesn't depend on when it is asked.
 GATHER = 1 << 21
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,51 +39,62 @@ class Cuts:
     """The dynamic program over a growing stream: cuts of least cost up to each place.
 
     What follows the last cut is shorter than a window and is left to the caller.  A
-    truncated cut is tried where the best open start of a window reaches its full length."""
+    truncated cut is tried where the best open start of a window reaches its full length.
+    Nodes are numbered for good; those before `root`, the last settled one, are forgotten."""
 
     def __init__(self, window: int = WINDOW, truncation: int = TRUNCATION_COST):
         self.window, self.truncation = window, truncation
-        self.at, self.cost, self.back = [0], [0], [-1]
+        self.at, self.back, self.root = [0], [-1], 0
         self.queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # g, position, node
 
+    def _full(self, g: int, p: int, i: int) -> None:
+        """A truncated cut at the end of a full window that starts at p."""
+        g, p = g + self.window + self.truncation, p + self.window
+        while self.queue and self.queue[-1][0] >= g:
+            self.queue.pop()
+        self.queue.append((g, p, self.root + len(self.at)))
+        self.at.append(p)
+        self.back.append(i)
+
     def add(self, places: list[int], costs: list[int]) -> None:
         """places: increasing positions, after all those before, at which a window may end; costs: what a cut there costs."""
-        at, cost, back, queue, window, truncation = self.at, self.cost, self.back, self.queue, self.window, self.truncation
+        at, back, queue, window, truncation = self.at, self.back, self.queue, self.window, self.truncation
+        node = self.root + len(at)
         for place, extra in zip(places, costs, strict=True):
-            while queue[0][1] + window < place:
-                g, p, i = queue.popleft()
-                node, p2 = len(at), p + window
-                c = cost[i] + truncation
-                at.append(p2)
-                cost.append(c)
-                back.append(i)
-                while queue and queue[-1][0] >= c + p2:
-                    queue.pop()
-                queue.append((c + p2, p2, node))
-            g, p, i = queue[0]
-            c = g + window - place + extra
-            node = len(at)
+            low = place - window
+            if queue[0][1] < low:
+                gone = []
+                while queue and queue[0][1] < low:
+                    gone.append(queue.popleft())
+                if queue and queue[0][0] < gone[0][0] + window + truncation:
+                    # the cut at this place drops from the queue all truncated ones that don't cost less
+                    bar = queue[0][0] + extra - truncation
+                    for start in gone:
+                        if start[0] >= bar:
+                            break
+                        self._full(*start)
+                else:
+                    queue.extendleft(reversed(gone))
+                    while queue[0][1] < low:
+                        self._full(*queue.popleft())
+                node = self.root + len(at)
+            g, _, i = queue[0]
+            g += window + extra
             at.append(place)
-            cost.append(c)
             back.append(i)
-            g = c + place
             while queue and queue[-1][0] >= g:
                 queue.pop()
             queue.append((g, place, node))
-
-    def _path(self, node: int) -> list[int]:
-        cuts = []
-        while self.back[node] >= 0:
-            cuts.append(self.at[node])
-            node = self.back[node]
-        return cuts[::-1]
+            node += 1
 
     def _forget(self, root: int) -> list[int]:
-        cuts = self._path(root)
-        self.at, self.cost = self.at[root:], self.cost[root:]
-        self.back = [-1, *(max(-1, i - root) for i in self.back[root + 1 :])]
-        self.queue = deque((g, p, i - root) for g, p, i in self.queue)
-        return cuts
+        cuts, node = [], root
+        while node > self.root:
+            cuts.append(self.at[node - self.root])
+            node = self.back[node - self.root]
+        del self.at[: root - self.root], self.back[: root - self.root]
+        self.root = root
+        return cuts[::-1]
 
     def settled(self) -> list[int]:
         """The cuts that all open starts share, which no later place can change; they are forgotten here."""
@@ -91,7 +102,7 @@ class Cuts:
         heapq.heapify(heap)
         seen = set(heap)
         while len(heap) > 1:
-            up = -self.back[-heapq.heappop(heap)]
+            up = -self.back[-heapq.heappop(heap) - self.root]
             if up not in seen:
                 seen.add(up)
                 heapq.heappush(heap, up)
@@ -99,9 +110,8 @@ class Cuts:
 
     def best(self) -> list[int]:
         """The cuts up to the best last one; what was open otherwise is given up."""
-        g, p, i = self.queue[0]
-        self.queue = deque([(g, p, i)])
-        return self._forget(i)
+        self.queue = deque([self.queue[0]])
+        return self._forget(self.queue[0][2])
 
 
 def tail_cuts(n: int, truncation: int = TRUNCATION_COST) -> list[int]:
@@ -117,33 +127,53 @@ class Stream:
     """The open end of a partition's token stream.  Its cuts don't depend on how documents are grouped into feeds."""
 
     def __init__(self, base: int):
-        self.next, self.ids, self.cuts, self.gone = base, np.zeros(0, np.uint32), Cuts(), 0  # gone: tokens before self.ids
+        self.next, self.cuts, self.gone, self.end, self.ask = base, Cuts(), 0, 0, GATHER  # tokens: those gone, all so far, when to ask
+        self.parts: list[np.ndarray] = []
         self.docs: list[tuple] = []  # (id, tokens of the document, its tokens before this stream's first, tokens here)
 
     def feed(self, names: list, ids: list[bytes], sentence_end: np.ndarray, last: bool = False) -> list[tuple]:
         """Adds documents; returns the pieces of all sequences that are settled."""
-        parts, old = [self.ids], len(self.ids)
+        cuts, fresh = [], []
         for name, raw in zip(names, ids, strict=True):
             own = np.append(np.frombuffer(raw, "<u4"), np.uint32(END_ID)).astype("<u4")
-            parts.append(own)
+            fresh.append(own)
             self.docs.append((name, len(own), 0, len(own)))
-        stream = np.concatenate(parts).astype("<u4")
-        ends = np.cumsum([d[3] for d in self.docs])
-        if not len(stream):
-            return []
-        if len(stream) > old:
-            cuttable = sentence_end[stream[old:]]
-            fresh = ends[ends > old] - old
-            cuttable[fresh - 1] = True
+        if fresh:
+            stops = np.cumsum([len(own) for own in fresh])
+            fresh = np.concatenate(fresh)
+            self.parts.append(fresh)
+            cuttable = sentence_end[fresh]
+            cuttable[stops - 1] = True
             places = np.flatnonzero(cuttable) + 1
             price = np.full(len(places), SENTENCE_COST)
-            price[np.searchsorted(places, fresh)] = 0
-            self.cuts.add((places + (old + self.gone)).tolist(), price.tolist())
-        if last or len(stream) > HORIZON:
-            cuts = self.cuts.best()
-        else:
-            cuts = self.cuts.settled() if len(stream) >= GATHER else []
-        cuts = [c - self.gone for c in cuts]
+            price[np.searchsorted(places, stops)] = 0
+            places += self.end
+            self.end += len(fresh)
+            at = 0
+            while at < len(places):
+                upto = int(np.searchsorted(places, self.ask)) + 1
+                self.cuts.add(places[at:upto].tolist(), price[at:upto].tolist())
+                if upto <= len(places):
+                    cuts += self._settle(int(places[upto - 1]))
+                at = upto
+        if last:
+            cuts += self.cuts.best()
+        if not (cuts or last) or not self.docs:
+            return []
+        return self._pieces([c - self.gone for c in cuts], last)
+
+    def _settle(self, place: int) -> list[int]:
+        """Asked at places that the stream alone decides: after as many more tokens as wait, so that waiting ones are looked at a few times."""
+        cuts = self.cuts.settled()
+        if place - self.cuts.at[0] > HORIZON:
+            cuts += self.cuts.best()
+        self.ask = place + min(max(GATHER, place - self.cuts.at[0]), HORIZON)
+        return cuts
+
+    def _pieces(self, cuts: list[int], last: bool) -> list[tuple]:
+        """The pieces of the sequences that end at `cuts`, and with `last` of the rest."""
+        stream = np.concatenate(self.parts)
+        ends = np.cumsum([d[3] for d in self.docs])
         upto = cuts[-1] if cuts else 0
         if last:
             while len(stream) - upto > WINDOW:
@@ -151,9 +181,6 @@ class Stream:
                 cuts.append(upto)
             cuts += [upto + x for x in tail_cuts(len(stream) - upto)]
             upto = len(stream)
-        if not upto:
-            self.ids = stream
-            return []
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         cut = np.array([0, *cuts], np.int64)
         edge = np.unique(np.concatenate([cut, starts[starts < upto]]))
@@ -173,7 +200,7 @@ class Stream:
             name, total, before, here = kept[0]
             gone = upto - int(starts[first])
             kept[0] = (name, total, before + gone, here - gone)
-        self.docs, self.ids, self.gone = kept, stream[upto:].copy(), self.gone + upto
+        self.docs, self.parts, self.gone = kept, [stream[upto:].copy()], self.gone + upto
         return out
 
 
