@@ -59,32 +59,38 @@ class Cuts:
     def add(self, places: list[int], costs: list[int]) -> None:
         """places: increasing positions, after all those before, at which a window may end; costs: what a cut there costs."""
         at, back, queue, window, truncation = self.at, self.back, self.queue, self.window, self.truncation
-        node = self.root + len(at)
+        node, step, push = self.root + len(at), window + truncation, queue.append
         for place, extra in zip(places, costs, strict=True):
             low = place - window
             if queue[0][1] < low:
                 gone = []
                 while queue and queue[0][1] < low:
                     gone.append(queue.popleft())
-                if queue and queue[0][0] < gone[0][0] + window + truncation:
+                if queue and queue[0][0] < gone[0][0] + step:
                     # the cut at this place drops from the queue all truncated ones that don't cost less
                     bar = queue[0][0] + extra - truncation
-                    for start in gone:
-                        if start[0] >= bar:
+                    for g, p, i in gone:
+                        if g >= bar:
                             break
-                        self._full(*start)
+                        g, p = g + step, p + window
+                        while queue[-1][0] >= g:
+                            queue.pop()
+                        push((g, p, node))
+                        at.append(p)
+                        back.append(i)
+                        node += 1
                 else:
                     queue.extendleft(reversed(gone))
                     while queue[0][1] < low:
                         self._full(*queue.popleft())
-                node = self.root + len(at)
+                    node = self.root + len(at)
             g, _, i = queue[0]
             g += window + extra
             at.append(place)
             back.append(i)
             while queue and queue[-1][0] >= g:
                 queue.pop()
-            queue.append((g, place, node))
+            push((g, place, node))
             node += 1
 
     def _forget(self, root: int) -> list[int]:
