@@ -188,11 +188,17 @@ def test_index(spark, tmp_path, clock):
         exact = {r["content"] for r in store.search(q.tolist(), 10, "l2").collect()}
         found += len(exact & {h["content"] for h in store.recall(Request(q.tolist(), metric="l2", weights=only, track_access=False))})
     assert found >= 0.95 * 100
-    store.remember("needle", "semantic", [9.0] * 32)
-    assert store.recall(Request([9.0] * 32, metric="l2", weights=only, track_access=False))[0]["content"] == "needle"
-    store.flush()
-    assert store.recall(Request([9.0] * 32, metric="l2", weights=only, n_probe=20, n_rerank=200, track_access=False))[0]["content"] == "needle"
-    assert store.index_info()["vectors"] == 601
+    # rows added after the build: found pending, found committed, beside those near the same centre
+    late = {f"late{c}": (centre[c] + rng.uniform(-0.3, 0.3, 32)).tolist() for c in (2, 11, 17)}
+    for name, v in late.items():
+        store.remember(name, "semantic", v)
+    nearest = lambda v, **how: [h["content"] for h in store.recall(Request(v, metric="l2", weights=only, top_k=31, track_access=False, **how))]
+    for how in ({}, {"n_probe": 20, "n_rerank": 200}):
+        for (name, v), c in zip(late.items(), (2, 11, 17), strict=True):
+            got = nearest(v, **how)
+            assert got[0] == name and set(got[1:]) == {f"p{i}" for i in range(30 * c, 30 * c + 30)}
+        store.flush()
+    assert store.index_info()["vectors"] == 603
     store.drop_index()
     assert not again(store).has_index()
 
@@ -211,16 +217,23 @@ def test_sealed(spark, tmp_path, clock):
 
 
 def test_cache(store, clock):
-    for ns, key, value in (("llm", "a", b"{}"), ("prefs", "b", b"text"), ("http", "c", bytes(5))):
-        store.cache_put(ns, key, value)
-    store.cache_put("llm", "t", b"x", ttl_secs=10)
-    assert store.cache_get("http", "c")["value"] == bytes(5) and store.cache_get("llm", "zz") is None
-    clock.t += 10
-    assert store.cache_get("llm", "t") is None
-    assert store.cache_stats("llm")["entries"] == 2 and store.cache_stats()["hit_rate"] == pytest.approx(1 / 3)
-    assert store.cache_purge("llm", expired_only=True) == 1
-    store.cache_delete("prefs", "b")
-    assert again(store).cache_stats()["entries"] == 2
+    model = {}  # (namespace, key) -> (value, end of life): what the cache should hold
+    for n, (space, key, life) in enumerate([("sums", "x", None), ("sums", "y", 5), ("sums", "z", 50), ("pages", "x", 5), ("pages", "long" * 200, None)]):
+        store.cache_put(space, key, bytes([n, 0, 255]), **({"ttl_secs": life} if life else {}))
+        model[space, key] = (bytes([n, 0, 255]), clock.t + life if life else None)
+    asked = hits = 0
+    for wait in (0, 4, 1, 60):
+        clock.t += wait
+        for space, key in [*model, ("pages", "y")]:
+            value, end = model.get((space, key), (None, None))
+            alive = value is not None and (end is None or clock.t < end)
+            found = store.cache_get(space, key)
+            asked, hits = asked + 1, hits + alive
+            assert (found and found["value"]) == (value if alive else None)
+    assert store.cache_stats()["hit_rate"] == pytest.approx(hits / asked)
+    assert store.cache_purge("sums", expired_only=True) == 2 and store.cache_stats("sums")["entries"] == 1
+    store.cache_delete("pages", "long" * 200)
+    assert again(store).cache_get("pages", "long" * 200) is None and again(store).cache_get("sums", "x")["value"] == bytes([0, 0, 255])
     calls = []
     f = store.cached_call("memo")(lambda x: calls.append(x) or x + 1)
     assert f(1) == f(1) == 2 and calls == [1]
@@ -239,12 +252,22 @@ def test_cache_lru(store, clock):
 
 
 def test_cache_semantic(store):
-    store.cache_put_semantic("n", "q1", E1, b"answer-a", "m")
-    store.cache_put_semantic("n", "q2", E2, b"answer-b", "m")
-    store.cache_put("n", "plain", b"p")
-    assert store.cache_get_semantic("n", [0.98, 0.2, 0, 0], "m")["value"] == b"answer-a"
-    assert store.cache_get_semantic("n", [0.7, 0.7, 0, 0], "m") is None and store.cache_get_semantic("n", E1, "other") is None
-    assert store.cache_get("n", "q1")["value"] == b"answer-a"
+    import math
+
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), 0.0, 0.0]
+    kept = {0: b"east", 30: b"between", 90: b"north"}
+    for degrees, value in kept.items():
+        store.cache_put_semantic("compass", f"q{degrees}", at(degrees), value, "m1")
+    store.cache_put_semantic("compass", "elsewhere", at(60), b"of another model", "m2")
+    store.cache_put("compass", "exact", b"no vector")
+    for degrees in range(0, 100, 10):
+        nearest = min(kept, key=lambda d: abs(d - degrees))
+        found = store.cache_get_semantic("compass", at(degrees), "m1", threshold=math.cos(math.radians(12)))
+        if abs(nearest - degrees) > 12:
+            assert found is None
+        else:
+            assert found["value"] == kept[nearest] and found["similarity"] == pytest.approx(math.cos(math.radians(nearest - degrees)))
+    assert store.cache_get_semantic("compass", at(0), "m3") is None
 
 
 def test_import_and_about(store, tmp_path):
