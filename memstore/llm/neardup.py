@@ -21,21 +21,43 @@ from pyspark.sql import functions as F
 from memstore.llm.common import KEY, Scratch, components, forest, keyed, tidy
 
 THRESHOLD = 0.93
-#: Rows of one side of a tile.
+#: Least rows of one side of a tile, and rows that are multiplied at a time.
 BLOCK = 1024
-#: Bound of the sample that the centres are fitted on, least rows for each centre, numbers of
-#: centres to choose from, rows of the sample that tell their visits, comparisons that cost as
-#: much as sending a vector once.
-SAMPLE_ROWS, ROWS_PER_CELL, CELLS, VISITORS, SENDING = 16_384, 64, (4, 16, 64, 256), 2048, 256
+#: Least tiles' sides that all vectors make (so that few vectors still fill a cluster), and
+#: most bytes of vectors on one side of a tile.
+SIDES, SIDE_BYTES = 4096, 8_000_000
+#: Bound of the sample that the centres are fitted on, its rows for each centre of the largest
+#: number that the vectors could fill, least vectors for each centre, numbers of centres to
+#: choose from, rows of the sample that tell their visits, comparisons that cost as much as
+#: sending a vector once.  The sample's vectors take SAMPLE_BYTES at most.
+SAMPLE_BYTES = 64_000_000
+SAMPLE_ROWS, SAMPLE_PER_CELL, ROWS_PER_CELL, CELLS, VISITORS, SENDING = 65_536, 64, 64, (4, 16, 64, 256, 1024), 2048, 256
 ITERATIONS = 12
 
 
+def block_rows(n: int, dim: int) -> int:
+    """Rows of one side of a tile, for n vectors: a vector is sent once for each tile of its
+    cell, so sides grow with n as far as a task's memory allows."""
+    return max(BLOCK, min(n // SIDES, SIDE_BYTES // (8 * max(dim, 1))))
+
+
+def sample_rows(n: int, dim: int) -> int:
+    """Rows of the sample: SAMPLE_PER_CELL for each centre that n vectors could fill, within both bounds."""
+    most = max([k for k in CELLS if k * ROWS_PER_CELL <= n] or CELLS[:1])
+    return max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(dim, 1)), max(SAMPLE_ROWS // 4, most * SAMPLE_PER_CELL)))
+
+
+def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The centre of greatest cosine for each row, a bounded matrix at a time."""
+    return np.concatenate([(x[i : i + 8 * BLOCK] @ centre.T).argmax(axis=1) for i in range(0, len(x), 8 * BLOCK)])
+
+
 def spherical_kmeans(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
     """k unit centres of the unit rows of x."""
     rng = np.random.default_rng(seed)
     centre = x[np.sort(rng.choice(len(x), k, replace=False))].copy()
     for _ in range(ITERATIONS):
-        home = (x @ centre.T).argmax(axis=1)
+        home = nearest(x, centre)
         total = np.zeros_like(centre)
         np.add.at(total, home, x)
         norm = np.linalg.norm(total, axis=1)
@@ -60,7 +82,7 @@ def choose_centres(x: np.ndarray, n: int, slack: float) -> tuple[np.ndarray, np.
         if best is not None and k * ROWS_PER_CELL > n:
             break
         centre = spherical_kmeans(x, k)
-        apart = np.linalg.norm(centre[:, None] - centre[None], axis=2)
+        apart = np.stack([np.linalg.norm(centre - c, axis=1) for c in centre])
         s = x[:VISITORS] @ centre.T
         visits = reach(s, s.argmax(axis=1), apart, slack).sum(axis=1).mean()
         cost = visits * (n / k + SENDING)
@@ -69,13 +91,46 @@ def choose_centres(x: np.ndarray, n: int, slack: float) -> tuple[np.ndarray, np.
     return best[1], best[2]
 
 
+def parts(rows: np.ndarray) -> list[np.ndarray]:
+    """Some row numbers, BLOCK at a time."""
+    return [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
+
+
+def tile_links(x: np.ndarray, name: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray | None, both: bool, threshold: float, step: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each row: the rows a compared with the rows b (None: a with itself),
+    `step` rows of either at a time.  A link counts as the partner's copies, for b's rows only
+    if `both`; root is the least name that a row's links in this tile lead to."""
+    links, u, v = np.zeros(len(x), np.int64), [], []
+    for i in range(0, len(a), step):
+        for j in range(i if b is None else 0, len(a if b is None else b), step):
+            p, q = a[i : i + step], (a if b is None else b)[j : j + step]
+            near = x[p] @ x[q].T >= threshold
+            own = b is None and i == j
+            if own:
+                near[np.arange(len(p)), np.arange(len(p))] = False
+            links[p] += near @ copies[q]
+            if both if b is not None else not own:
+                links[q] += near.T @ copies[p]
+            r, c = np.nonzero(near)
+            if len(r):
+                node, low = forest(name[p][r], name[q][c])
+                u.append(node)
+                v.append(low)
+    root = name.copy()
+    if u:
+        nodes, low = forest(np.concatenate(u), np.concatenate(v))
+        at = np.minimum(np.searchsorted(nodes, name), len(nodes) - 1)
+        root = np.where(nodes[at] == name, low[at], name)
+    return links, root
+
+
 def unit(vectors) -> np.ndarray:
     x = np.array([np.asarray(v, np.float64) for v in vectors])
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK
+    vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int | None = None
 ) -> DataFrame:
     """id, n_links, component_id, kept; one row for each input row.
 
@@ -103,7 +158,8 @@ def near_duplicates(
 
     # home cells
     dim = dim[0]["__d"]
-    sample = reps.where(F.col("__d") == dim).orderBy(F.xxhash64("__rep"), "__rep").limit(SAMPLE_ROWS).select("__v").toPandas()
+    sample = reps.where(F.col("__d") == dim).orderBy(F.xxhash64("__rep"), "__rep").limit(sample_rows(n, dim)).select("__v").toPandas()
+    block = block or block_rows(n, dim)
     angle = math.acos(threshold)
     slack = math.sin(min(angle, math.pi / 2)) + 1e-9
     centre, apart = choose_centres(unit(sample["__v"]), n, slack)
@@ -113,10 +169,10 @@ def near_duplicates(
         for batch in batches:
             pdf = batch.to_pandas()
             home, near = np.zeros(len(pdf), np.int32), np.ones(len(pdf))
-            fit = (pdf["__d"] == dim).to_numpy()
-            if fit.any():
-                s = unit(pdf["__v"][fit]) @ centre.T
-                home[fit], near[fit] = s.argmax(axis=1), s.max(axis=1)
+            fit = np.flatnonzero((pdf["__d"] == dim).to_numpy())
+            for part in parts(fit):
+                s = unit(pdf["__v"].iloc[part]) @ centre.T
+                home[part], near[part] = s.argmax(axis=1), s.max(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(near)], names=[*batch.schema.names, "__home", "__near"])
 
     rows = reps.select("__rep", "__g", "__d", "__n", "__v")
@@ -131,12 +187,12 @@ def near_duplicates(
             pdf = batch.to_pandas()
             cells = [[h] for h in pdf["__home"]]
             fit = np.flatnonzero((pdf["__d"] == dim).to_numpy())
-            if len(fit):
-                s = unit(pdf["__v"].iloc[fit]) @ centre.T
-                h = pdf["__home"].to_numpy()[fit]
+            for part in parts(fit):
+                s = unit(pdf["__v"].iloc[part]) @ centre.T
+                h = pdf["__home"].to_numpy()[part]
                 go = reach(s, h, apart, slack) & (s >= within[None])
-                go[np.arange(len(fit)), h] = False
-                for i, row in zip(fit, go, strict=True):
+                go[np.arange(len(part)), h] = False
+                for i, row in zip(part, go, strict=True):
                     cells[i] += np.flatnonzero(row).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "__cells"])
 
@@ -159,21 +215,7 @@ def near_duplicates(
         i, j = pdf["__i"].iloc[0], pdf["__j"].iloc[0]
         x, name, copies = unit(pdf["__v"]), pdf["__rep"].to_numpy(), pdf["__n"].to_numpy()
         left = (~pdf["__guest"] & (pdf["__b"] == i)).to_numpy()
-        a = np.flatnonzero(left)
-        b = a if i == j else np.flatnonzero(~left)
-        near = x[a] @ x[b].T >= threshold
-        if i == j:
-            near[np.arange(len(a)), np.arange(len(a))] = False
-        links = np.zeros(len(x), np.int64)
-        links[a] += near @ copies[b]
-        if j > i:
-            links[b] += near.T @ copies[a]
-        p, q = np.nonzero(near)
-        root = name.copy()
-        if len(p):
-            nodes, low = forest(name[a][p], name[b][q])
-            at = np.minimum(np.searchsorted(nodes, name), len(nodes) - 1)
-            root = np.where(nodes[at] == name, low[at], name)
+        links, root = tile_links(x, name, copies, np.flatnonzero(left), None if i == j else np.flatnonzero(~left), j > i, threshold)
         some = (links > 0) | (root != name)
         return pd.DataFrame({"rep": name[some], "links": links[some], "root": root[some]})
 

@@ -79,6 +79,44 @@ def test_near_duplicates(spark):
         assert r["component_id"] == min(seen) and r["kept"] == (i == min(seen))
 
 
+@pytest.mark.parametrize("step", [1, 3, 7, 100])
+@pytest.mark.parametrize("both", [False, True])
+def test_tile_links(step, both):
+    rng = np.random.default_rng(step)
+    x = neardup.unit(rng.normal(size=(23, 3)))
+    name, copies = rng.permutation(23).astype(np.int64) + 50, rng.integers(1, 4, 23)
+    near = x @ x.T >= 0.8
+    np.fill_diagonal(near, False)
+    a, b = np.arange(0, 23, 2), np.arange(1, 23, 2)
+    cases = [(np.arange(23), None, near), (a, b, near & (np.arange(23)[:, None] % 2 != np.arange(23)[None] % 2))]
+    for left, right, pairs in cases:
+        links, root = neardup.tile_links(x, name, copies, left, right, both, 0.8, step)
+        want = (pairs * copies[None]).sum(axis=1)
+        if right is not None and not both:
+            want[b] = 0
+        assert links.tolist() == want.tolist()
+        low = name.copy()
+        for _ in range(23):
+            for i, j in zip(*np.nonzero(pairs), strict=True):
+                low[i] = low[j] = min(low[i], low[j])
+        assert root.tolist() == low.tolist()
+
+
+def test_tiles_grow_with_the_vectors():
+    assert neardup.block_rows(50_000, 64) == neardup.BLOCK and neardup.block_rows(10**9, 64) == neardup.SIDE_BYTES // 512
+    for dim in (1, 64, 4096):
+        for n in (1, 10**5, 10**7, 10**9):
+            assert neardup.BLOCK <= neardup.block_rows(n, dim) and neardup.block_rows(n, dim) * dim * 8 <= max(neardup.SIDE_BYTES, neardup.BLOCK * dim * 8)
+            assert 1 <= neardup.sample_rows(n, dim) <= neardup.SAMPLE_ROWS and neardup.sample_rows(n, dim) * dim * 8 <= neardup.SAMPLE_BYTES
+
+
+def test_centres_are_as_far_apart_as_said():
+    x = neardup.unit(np.random.default_rng(3).normal(size=(600, 8)))
+    centre, apart = neardup.choose_centres(x, 600, 0.3)
+    assert np.allclose(apart, np.linalg.norm(centre[:, None] - centre[None], axis=2), atol=1e-12)
+    assert (neardup.nearest(x, centre) == (x @ centre.T).argmax(axis=1)).all()
+
+
 def test_near_duplicates_odd(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
