@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memstore.llm.common import Scratch, held_out
+from memstore.llm.common import WRITING, Scratch, free_heap, held_out
 from memstore.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,7 +57,20 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, vocabulary())
 
 
-STAGES = [("language ID", language), ("near duplicates", near_duplicates), ("repeats", repeats), ("personal data", personal_data), ("packing", packing)]
+def fresh(stage):
+    """The stage on heaps that the one before has given back.  Rows reach Python in small batches in the
+    whole session from then on, as a stage's result is computed after it returns; results don't depend on them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(key, WRITING[key])
+        free_heap(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, fresh(stage)) for name, stage in [("language ID", language), ("near duplicates", near_duplicates), ("repeats", repeats), ("personal data", personal_data), ("packing", packing)]]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from memstore.llm.common import ASCII_SPACE, numbered, tidy
 
-#: Distinct chunks that a worker remembers; when full, it forgets all and starts anew.
-CACHE_CHUNKS = 500_000
+#: Distinct chunks that a worker remembers; when there are more, it forgets those that the present slice doesn't use.
+CACHE_CHUNKS = 300_000
 #: Text of one slice of a batch, in characters.
 SLICE_CHARS = 2_000_000
 
@@ -85,18 +85,18 @@ class PairIndexBpe:
 
     def learn(self, chunks: list[str]) -> None:
         """Encodes chunks that aren't in the cache, all together."""
-        if len(self.known_words) > CACHE_CHUNKS:
-            self.known_words.clear()
-        coded = self.known_words
-        coded["\n"] = _BREAK
         odd = [c for c in chunks if "<|" in c] if self.specials else []
         rows = {c: row for c in odd if self.specials.search(c) and (row := self.pieces(c))}
         if rows:
             chunks = [c for c in chunks if c not in rows]
         flat = self.words_or_breaks.findall(lowered("\n".join(chunks)))
-        new = {*flat, *(p for row in rows.values() for p in row if not isinstance(p, int))}.difference(coded)
+        used = {*flat, *(p for row in rows.values() for p in row if not isinstance(p, int))}
+        if len(self.known_words) > CACHE_CHUNKS:
+            self.known_words = {p: self.known_words[p] for p in used.intersection(self.known_words)}
+        coded = self.known_words
+        coded["\n"] = _BREAK
         letters = self.letters
-        new = list(new)
+        new = list(used.difference(coded))
         spelt = [p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode("utf-8", "surrogatepass")]) for p in new]
         coded.update(zip(new, self.merge_all(spelt), strict=True))
         for c, row in rows.items():
@@ -187,12 +187,13 @@ class PairIndexBpe:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         split = [chunks_of(t) for t in texts]
+        used = set().union(*split)
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+            self.cache = {c: self.cache[c] for c in used.intersection(self.cache)}
         known = self.cache
-        new = set().union(*split).difference(known)
+        new = list(used.difference(known))
         if new:
-            self.learn(list(new))
+            self.learn(new)
         return [b"".join([known[c] for c in chunks]) for chunks in split]
 
     def decode_ids(self, ids: bytes) -> str:

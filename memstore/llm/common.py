@@ -79,13 +79,21 @@ class Scratch:
 
 
 def give_back() -> None:
-    """Returns free memory of Arrow and of the C library, where it can, to the system."""
+    """Returns free memory of Arrow and of the C library, where it can, and the tables of powers to the system."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def free_heap(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage, as many as get one of these tasks; a heap that
+    one stage has grown is given back, and doesn't stand beside the Python workers of the next."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc")).write.format("noop").mode("overwrite").save()
+
+
 def tidy(run):
     """A function of Arrow batches that gives freed memory back to the system when its task
     ends: Python workers live on, and what one stage needed mustn't count against the next."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from memstore.llm.bpe import text_slices, tokenizer
-from memstore.llm.common import numbered, tidy
+from memstore.llm.common import numbered, slices, tidy
 
 WINDOW = 2048
 #: Closes every document.
@@ -31,6 +32,8 @@ SENTENCE_COST, TRUNCATION_COST = 1, 8
 HORIZON = 1 << 24
 #: Least tokens that gather before it is asked which cuts are settled.  That they are doesn't depend on when it is asked.
 GATHER = 1 << 21
+#: Bytes of text that are Python strings at a time.
+SLICE = 8_000_000
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,11 +43,12 @@ class Cuts:
 
     What follows the last cut is shorter than a window and is left to the caller.  A
     truncated cut is tried where the best open start of a window reaches its full length.
-    Nodes are numbered for good; those before `root`, the last settled one, are forgotten."""
+    Nodes are numbered for good; those before `root`, the last settled one, are forgotten.
+    There are millions of them while little is settled, so they are numbers in arrays."""
 
     def __init__(self, window: int = WINDOW, truncation: int = TRUNCATION_COST):
         self.window, self.truncation = window, truncation
-        self.at, self.back, self.root = [0], [-1], 0
+        self.at, self.back, self.root = array("q", [0]), array("q", [-1]), 0
         self.queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # g, position, node
 
     def _full(self, g: int, p: int, i: int) -> None:
@@ -194,7 +198,7 @@ class Stream:
         stop = np.append(edge[1:], upto)
         doc = np.searchsorted(starts, edge, "right") - 1
         seq = np.searchsorted(cut, edge, "right") - 1
-        raw = stream.tobytes()
+        raw = memoryview(stream).cast("B")
         out = []
         for s, e, d, q in zip(edge.tolist(), stop.tolist(), doc.tolist(), seq.tolist(), strict=True):
             name, total, before, _ = self.docs[d]
@@ -237,10 +241,11 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, some in text_slices(texts):
-                if found := stream.feed(ids[at : at + len(some)], tok.encode_many(some), ends):
-                    yield rows(found)
+            for part in slices(batch, 1, SLICE):
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for at, some in text_slices(texts):
+                    if found := stream.feed(ids[at : at + len(some)], tok.encode_many(some), ends):
+                        yield rows(found)
         if id_type is not None and (found := stream.feed([], [], ends, last=True)):
             yield rows(found)
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from memstore.llm.common import fields, numbered, tidy
+from memstore.llm.common import fields, numbered, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -408,13 +408,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cr
     return docs.select(*numbered([id_col, text_col])).mapInArrow(tidy(run), fields(docs.schema, [id_col])[0] + ", " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
 
 
+#: Bytes of text that are Python strings at a time.
+SLICE = 4_000_000
+
+
 def redact(docs: DataFrame, text_col: str = "text", crf: SegmentCrf | None = None) -> DataFrame:
     """The rows with spans in text_col replaced; a null text stays null."""
     crf = crf or train()
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at, SLICE)):
             new = []
             for t in batch.column(at).to_pylist():
                 base, added = find_spans(t, crf) if t else ([], [])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memstore.llm.common import BYTE_CODE, KEY, Scratch, fields, kept_columns, keyed, mix64, numbered, prefix_hash, slices, span_hash, tidy, utf8
+from memstore.llm.common import BYTE_CODE, KEY, Scratch, fields, give_back, kept_columns, keyed, mix64, numbered, prefix_hash, slices, span_hash, tidy, utf8
 
 LENGTH = 200
 #: Bytes of the strings whose least hash names the bucket.
@@ -192,6 +192,12 @@ def runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sort_group(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return found(pdf)
+        finally:
+            give_back()
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
         n = pdf["n"].to_numpy().astype(np.int64)
         texts = pdf["bytes"].tolist()
         x = np.frombuffer(b"".join(texts), np.uint8)
@@ -331,7 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(rows, scratch, text_col, length).groupBy(KEY).agg(F.collect_list(F.struct("s", "e")).alias("__spans"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
             got = []
             raw = batch.column(1).cast(pa.binary()).to_pylist()
             for data, want in zip(raw, batch.column(2).to_pylist(), strict=True):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -300,6 +301,38 @@ def test_best_cuts():
         assert total <= min(cost[q] + q for q in cost if places[-1] - 32 <= q) - last + 8
 
 
+def test_cuts_memory():
+    """Open nodes, of which a partition may have millions, take a few bytes each."""
+    cuts, places = packing.Cuts(), list(range(7, 700_000, 7))
+    tracemalloc.start()
+    cuts.add(places, [1] * len(places))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(cuts.at) >= len(places) and held < 28 * len(cuts.at)
+
+
+def test_full_cache_keeps_present_chunks(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 200)
+    tok = bpe.PairIndexBpe(vocabulary())
+    lib, common_words, learned, learn = library(), [f"come{i}again" for i in range(100)], [], tok.learn
+    monkeypatch.setattr(tok, "learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    for i in range(5):
+        texts = [" ".join(common_words), " ".join(f"only{i}x{k}" for k in range(150))]
+        assert tok.encode_many(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(learned) == len(set(learned)) and len(tok.cache) <= 400
+
+
+def test_memory_given_back(spark):
+    common.powers(1 << 20)
+    common.give_back()
+    assert not common._powers
+    factory = spark._jvm.java.lang.management.ManagementFactory
+    count = lambda: sum(b.getCollectionCount() for b in factory.getGarbageCollectorMXBeans())
+    before = count()
+    common.free_heap(spark)
+    assert count() > before
+
+
 def test_tail_cuts():
     assert packing.tail_cuts(0) == [] and packing.tail_cuts(1024) == [1024] and packing.tail_cuts(2047) == [2047] and packing.tail_cuts(768) == [512, 768]
 
