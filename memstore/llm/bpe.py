@@ -5,8 +5,9 @@ time are laid end to end in one symbol array; an index maps each adjacent pair t
 merge to all its positions there.  Active ranks are taken in ascending order from a heap;
 a rank is applied at all its positions at once (left to right where occurrences overlap),
 and only the index lists of the touched neighbours are updated.  Chunks (runs without
-white space) are independent under this vocabulary's pre-tokenizer, so a chunk that came
-before is looked up, and the ids of a text are the ids of its chunks in order.
+white space of ASCII; the pre-tokenizer parts at any other) are independent under this
+vocabulary's pre-tokenizer, so a chunk that came before is looked up, once for all its
+places in a slice, and the ids of a text are the ids of its chunks in order.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from memstore.llm.common import ASCII_SPACE, numbered, tidy
+from memstore.llm.common import numbered, tidy
 
 #: Distinct chunks that a worker remembers; when there are more, it forgets those that the present slice doesn't use.
 CACHE_CHUNKS = 300_000
@@ -31,7 +34,6 @@ SLICE_CHARS = 2_000_000
 
 #: Stands for the end of a chunk among ids.
 _BREAK = b"\xff\xff\xff\xff"
-_ASCII_SPACE = regex.compile(f"[{ASCII_SPACE}]+")
 
 
 def byte_letters() -> list[str]:
@@ -89,8 +91,11 @@ class PairIndexBpe:
         rows = {c: row for c in odd if self.specials.search(c) and (row := self.pieces(c))}
         if rows:
             chunks = [c for c in chunks if c not in rows]
-        flat = self.words_or_breaks.findall(lowered("\n".join(chunks)))
-        used = {*flat, *(p for row in rows.values() for p in row if not isinstance(p, int))}
+        low = lowered("\n".join(chunks)).split("\n") if chunks else []
+        alone = [w.isalpha() for w in low]  # a pre-token each
+        whole, other = list(compress(low, alone)), [not x for x in alone]
+        flat = self.words_or_breaks.findall("\n".join(compress(low, other)))
+        used = {*whole, *flat, *(p for row in rows.values() for p in row if not isinstance(p, int))}
         if len(self.known_words) > CACHE_CHUNKS:
             self.known_words = {p: self.known_words[p] for p in used.intersection(self.known_words)}
         coded = self.known_words
@@ -101,11 +106,12 @@ class PairIndexBpe:
         coded.update(zip(new, self.merge_all(spelt), strict=True))
         for c, row in rows.items():
             self.cache[c] = b"".join([np.uint32(p).tobytes() if isinstance(p, int) else coded[p] for p in row])
-        if chunks:
+        self.cache.update(zip(compress(chunks, alone), map(coded.__getitem__, whole), strict=True))
+        if any(other):
             raw = b"".join([coded[p] for p in flat])
             ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF)).tolist() + [len(raw)]
             starts = [0, *(e + 4 for e in ends[:-1])]
-            self.cache.update(zip(chunks, [raw[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
+            self.cache.update(zip(compress(chunks, other), [raw[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
 
     def merge_all(self, words: list[str]) -> list[bytes]:
         """Token ids of each word, little-endian 32-bit, by the pair occurrence index.
@@ -184,30 +190,40 @@ class PairIndexBpe:
 
     # -- texts ----------------------------------------------------------------
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [chunks_of(t) for t in texts]
-        used = set().union(*split)
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column of strings, end to end, and n+1 numbers: where each text's begin.  A null is empty."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        begin = split.offsets.to_numpy()
+        coded = split.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+        used = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {c: self.cache[c] for c in used.intersection(self.cache)}
+            self.cache = {c: self.cache[c] for c in used if c in self.cache}
         known = self.cache
-        new = list(used.difference(known))
+        new = [c for c in used if c not in known]
         if new:
             self.learn(new)
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        raw = list(map(known.__getitem__, used))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        at = coded.indices.to_numpy()
+        size, first = size[at], (np.cumsum(size) - size)[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        place = np.repeat((first - ends[:-1]).astype(kind), size)
+        place += np.arange(ends[-1], dtype=kind)
+        return ids[place], ends[begin - begin[0]]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
 
     def decode_ids(self, ids: bytes) -> str:
         """Tokens joined by blanks: this vocabulary names no decoder."""
         return " ".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def chunks_of(text: str) -> list[str]:
-    """Runs without white space.  str.split() also parts at 0x1C-0x1F, which the vocabulary's pattern doesn't."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return [c for c in _ASCII_SPACE.split(text) if c]
-    return text.split()
-
-
 def lowered(text: str) -> str:
     """NFC, then each character's lower case by itself (no final sigma)."""
     if text.isascii():

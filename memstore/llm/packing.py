@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from memstore.llm.bpe import text_slices, tokenizer
+from memstore.llm.bpe import tokenizer
 from memstore.llm.common import numbered, slices, tidy
 
 WINDOW = 2048
@@ -32,7 +32,7 @@ SENTENCE_COST, TRUNCATION_COST = 1, 8
 HORIZON = 1 << 24
 #: Least tokens that gather before it is asked which cuts are settled.  That they are doesn't depend on when it is asked.
 GATHER = 1 << 21
-#: Bytes of text that are Python strings at a time.
+#: Bytes of text that are encoded at a time.
 SLICE = 8_000_000
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,58 +44,66 @@ class Cuts:
     What follows the last cut is shorter than a window and is left to the caller.  A
     truncated cut is tried where the best open start of a window reaches its full length.
     Nodes are numbered for good; those before `root`, the last settled one, are forgotten.
-    There are millions of them while little is settled, so they are numbers in arrays."""
+    There are millions of them while little is settled, so they are numbers in arrays, and
+    the queue is three of them: increasing g, position, node."""
 
     def __init__(self, window: int = WINDOW, truncation: int = TRUNCATION_COST):
         self.window, self.truncation = window, truncation
         self.at, self.back, self.root = array("q", [0]), array("q", [-1]), 0
-        self.queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # g, position, node
-
-    def _full(self, g: int, p: int, i: int) -> None:
-        """A truncated cut at the end of a full window that starts at p."""
-        g, p = g + self.window + self.truncation, p + self.window
-        while self.queue and self.queue[-1][0] >= g:
-            self.queue.pop()
-        self.queue.append((g, p, self.root + len(self.at)))
-        self.at.append(p)
-        self.back.append(i)
-
-    def add(self, places: list[int], costs: list[int]) -> None:
+        self.queue = np.zeros((3, 1), np.int64)
+
+    def add(self, places, costs) -> None:
         """places: increasing positions, after all those before, at which a window may end; costs: what a cut there costs."""
-        at, back, queue, window, truncation = self.at, self.back, self.queue, self.window, self.truncation
-        node, step, push = self.root + len(at), window + truncation, queue.append
-        for place, extra in zip(places, costs, strict=True):
-            low = place - window
-            if queue[0][1] < low:
-                gone = []
-                while queue and queue[0][1] < low:
-                    gone.append(queue.popleft())
-                if queue and queue[0][0] < gone[0][0] + step:
-                    # the cut at this place drops from the queue all truncated ones that don't cost less
-                    bar = queue[0][0] + extra - truncation
-                    for g, p, i in gone:
-                        if g >= bar:
-                            break
-                        g, p = g + step, p + window
-                        while queue[-1][0] >= g:
-                            queue.pop()
-                        push((g, p, node))
-                        at.append(p)
-                        back.append(i)
-                        node += 1
-                else:
-                    queue.extendleft(reversed(gone))
-                    while queue[0][1] < low:
-                        self._full(*queue.popleft())
-                    node = self.root + len(at)
-            g, _, i = queue[0]
-            g += window + extra
-            at.append(place)
-            back.append(i)
+        places, costs = np.asarray(places, np.int64), np.asarray(costs, np.int64)
+        done = 0
+        while done < len(places):
+            g, p, _ = self.queue
+            # a new node costs a window more than its start, so those that cost less than that over the front all stay fronts in turn
+            p = p[: np.searchsorted(g, g[0] + self.window)]
+            upto = int(np.searchsorted(places, p[-1] + self.window, "right"))
+            if upto > done:
+                self._run(p, places[done:upto], costs[done:upto])
+                done = upto
+            else:
+                self._far(int(places[done]), int(costs[done]))
+                done += 1
+
+    def _run(self, p: np.ndarray, places: np.ndarray, costs: np.ndarray) -> None:
+        """Places whose best starts are all among the queue's first, at the positions p."""
+        g, _, node = self.queue
+        front = np.searchsorted(p, places - self.window)
+        gone = int(front[-1])
+        new = np.stack([g[front] + (self.window + costs), places, node[front]])
+        # a start that a place leaves behind is cut at its full window, unless the cut at that place costs no more
+        first = np.searchsorted(front, np.arange(gone), "right")
+        full = g[:gone] + (self.window + self.truncation)
+        less = np.flatnonzero(full < new[0, first])
+        new = np.insert(new, first[less], [full[less], p[less] + self.window, node[less]], axis=1)
+        number = self.root + len(self.at) + np.arange(new.shape[1])
+        self.at.frombytes(new[1].tobytes())
+        self.back.frombytes(new[2].tobytes())
+        new[2] = number
+        low = np.minimum.accumulate(new[0, ::-1])[::-1]
+        stays = np.append(new[0, :-1] < low[1:], True)
+        self.queue = np.concatenate([self.queue[:, gone : np.searchsorted(g, low[0])], new[:, stays]], axis=1)
+
+    def _far(self, place: int, extra: int) -> None:
+        """A place beyond the windows of those starts: each start that it leaves behind, truncated ones too, is cut at its full window."""
+        queue = deque(zip(*self.queue.tolist(), strict=True))
+
+        def push(g: int, p: int, i: int) -> None:
             while queue and queue[-1][0] >= g:
                 queue.pop()
-            push((g, place, node))
-            node += 1
+            queue.append((g, p, self.root + len(self.at)))
+            self.at.append(p)
+            self.back.append(i)
+
+        while queue[0][1] < place - self.window:
+            g, p, i = queue.popleft()
+            push(g + self.window + self.truncation, p + self.window, i)
+        g, _, i = queue[0]
+        push(g + self.window + extra, place, i)
+        self.queue = np.array(queue, np.int64).T
 
     def _forget(self, root: int) -> list[int]:
         cuts, node = [], root
@@ -108,7 +116,7 @@ class Cuts:
 
     def settled(self) -> list[int]:
         """The cuts that all open starts share, which no later place can change; they are forgotten here."""
-        heap = [-i for _, _, i in self.queue]
+        heap = (-self.queue[2]).tolist()
         heapq.heapify(heap)
         seen = set(heap)
         while len(heap) > 1:
@@ -120,8 +128,8 @@ class Cuts:
 
     def best(self) -> list[int]:
         """The cuts up to the best last one; what was open otherwise is given up."""
-        self.queue = deque([self.queue[0]])
-        return self._forget(self.queue[0][2])
+        self.queue = self.queue[:, :1]
+        return self._forget(int(self.queue[2, 0]))
 
 
 def tail_cuts(n: int, truncation: int = TRUNCATION_COST) -> list[int]:
@@ -141,16 +149,14 @@ class Stream:
         self.parts: list[np.ndarray] = []
         self.docs: list[tuple] = []  # (id, tokens of the document, its tokens before this stream's first, tokens here)
 
-    def feed(self, names: list, ids: list[bytes], sentence_end: np.ndarray, last: bool = False) -> list[tuple]:
-        """Adds documents; returns the pieces of all sequences that are settled."""
-        cuts, fresh = [], []
-        for name, raw in zip(names, ids, strict=True):
-            own = np.append(np.frombuffer(raw, "<u4"), np.uint32(END_ID)).astype("<u4")
-            fresh.append(own)
-            self.docs.append((name, len(own), 0, len(own)))
-        if fresh:
-            stops = np.cumsum([len(own) for own in fresh])
-            fresh = np.concatenate(fresh)
+    def feed(self, names: list, ids: np.ndarray, begin: np.ndarray, sentence_end: np.ndarray) -> list[tuple]:
+        """Adds documents, whose ids begin at `begin` (their end too); returns the pieces of all sequences that are settled."""
+        cuts = []
+        if names:
+            fresh = np.insert(ids, begin[1:], END_ID).astype("<u4", copy=False)
+            stops = begin[1:] + np.arange(1, len(names) + 1)
+            sizes = (np.diff(begin) + 1).tolist()
+            self.docs += [(name, n, 0, n) for name, n in zip(names, sizes, strict=True)]
             self.parts.append(fresh)
             cuttable = sentence_end[fresh]
             cuttable[stops - 1] = True
@@ -162,15 +168,16 @@ class Stream:
             at = 0
             while at < len(places):
                 upto = int(np.searchsorted(places, self.ask)) + 1
-                self.cuts.add(places[at:upto].tolist(), price[at:upto].tolist())
+                self.cuts.add(places[at:upto], price[at:upto])
                 if upto <= len(places):
                     cuts += self._settle(int(places[upto - 1]))
                 at = upto
-        if last:
-            cuts += self.cuts.best()
-        if not (cuts or last) or not self.docs:
-            return []
-        return self._pieces([c - self.gone for c in cuts], last)
+        return self._pieces([c - self.gone for c in cuts]) if cuts else []
+
+    def close(self) -> list[tuple]:
+        """The pieces of the rest."""
+        cuts = [c - self.gone for c in self.cuts.best()]
+        return self._pieces(cuts, last=True) if self.docs else []
 
     def _settle(self, place: int) -> list[int]:
         """Asked at places that the stream alone decides: after as many more tokens as wait, so that waiting ones are looked at a few times."""
@@ -180,7 +187,7 @@ class Stream:
         self.ask = place + min(max(GATHER, place - self.cuts.at[0]), HORIZON)
         return cuts
 
-    def _pieces(self, cuts: list[int], last: bool) -> list[tuple]:
+    def _pieces(self, cuts: list[int], last: bool = False) -> list[tuple]:
         """The pieces of the sequences that end at `cuts`, and with `last` of the rest."""
         stream = np.concatenate(self.parts)
         ends = np.cumsum([d[3] for d in self.docs])
@@ -242,11 +249,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             id_type = batch.schema.field(0).type
             for part in slices(batch, 1, SLICE):
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for at, some in text_slices(texts):
-                    if found := stream.feed(ids[at : at + len(some)], tok.encode_many(some), ends):
-                        yield rows(found)
-        if id_type is not None and (found := stream.feed([], [], ends, last=True)):
+                if found := stream.feed(part.column(0).to_pylist(), *tok.encode_column(part.column(1)), ends):
+                    yield rows(found)
+        if id_type is not None and (found := stream.close()):
             yield rows(found)
 
     return docs.select(*numbered([id_col, text_col])).mapInArrow(tidy(run), f"`{id_col}` {kind}, {SCHEMA}")

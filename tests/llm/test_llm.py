@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import time
 import tracemalloc
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -311,6 +313,63 @@ def test_cuts_memory():
     assert len(cuts.at) >= len(places) and held < 28 * len(cuts.at)
 
 
+def lines_run(module, call) -> int:
+    """The lines of `module` that run during a call."""
+    count = 0
+
+    def trace(frame, event, arg):
+        nonlocal count
+        count += event == "line"
+        return trace if frame.f_code.co_filename == module.__file__ else None
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        call()
+    finally:
+        sys.settrace(before)
+    return count
+
+
+def test_cuts_by_runs():
+    """Places are taken many at a time, so the cost of packing isn't the interpreter's."""
+    own = random.Random(7)
+    places = sorted(own.sample(range(1, 400_000), 20_000))
+    cuts = packing.Cuts()
+    assert lines_run(packing, lambda: cuts.add(places, [own.choice([0, 1, 1, 1]) for _ in places])) < len(places)
+
+
+def test_cuts_far_apart():
+    """Places further apart than windows, and crowded ones: the best open start costs what brute force finds, for any grouping."""
+    own = random.Random(8)
+    for _ in range(60):
+        places = np.cumsum(own.choices([1, 2, 5, 31, 32, 33, 70, 150], [9, 9, 9, 1, 1, 1, 1, 1], k=own.randint(2, 80))).tolist()
+        costs = [own.choice([0, 1]) for _ in places]
+        whole, parts, got = packing.Cuts(32, 8), packing.Cuts(32, 8), []
+        whole.add(places, costs)
+        for i in range(0, len(places), 7):
+            parts.add(places[i : i + 7], costs[i : i + 7])
+            got += parts.settled()
+        cost = brute_cuts(places, costs, 32, 8)
+        g, at, _ = whole.queue.tolist()
+        assert all(cost[p] <= x - p for x, p in zip(g, at, strict=True)) and (np.diff(g) > 0).all()
+        # no later start costs less than the queue's first
+        assert g[0] == min(c + q for q, c in cost.items() if at[0] <= q <= places[-1])
+        assert got + parts.best() == whole.best()
+
+
+def test_encoding_by_distinct_chunks():
+    """A chunk is looked up once for all its places; slices of columns, nulls and white space beyond ASCII are as the library has them."""
+    tok, lib = bpe.PairIndexBpe(vocabulary()), library()
+    text = "the cat sat, on the mat. " * 20_000
+    tok.encode_many([text[:100]])
+    assert lines_run(bpe, lambda: tok.encode_many([text])) < 5_000
+    texts = ["left out", " a\x0bb\x0c c\u00a0d\u3000E\x85f ", None, "", "  ", "\u1e9b\u0323 I\u0307x don't", "left out"]
+    ids, at = tok.encode_column(pa.array(texts).slice(1, 5))
+    for i, t in enumerate(texts[1:6]):
+        assert ids[at[i] : at[i + 1]].tolist() == lib.encode(t or "", add_special_tokens=False).ids
+
+
 def test_full_cache_keeps_present_chunks(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_CHUNKS", 200)
     tok = bpe.PairIndexBpe(vocabulary())
